@@ -201,6 +201,34 @@ def compile_filter(node: Any, layout: Layout) -> Column:
     return layout.has_payload() & _compile(node, layout)
 
 
+def _implied(node: Any, layout: ColumnLayout) -> Column | None:
+    """A plain predicate that is true wherever the filter is, or None."""
+    match node:
+        case And(parts):
+            found = [p for p in (_implied(x, layout) for x in parts) if p is not None]
+            return reduce(lambda a, b: a & b, found) if found else None
+        case Or(parts):
+            found = [_implied(x, layout) for x in parts]
+            return reduce(lambda a, b: a | b, found) if found and all(p is not None for p in found) else None
+        case Exists(name):
+            return layout.present(name)
+        case In(name, values) if values and all(tag_of(v) == layout.fields.get(name, (None, ""))[1] for v in values):
+            return layout.fields[name][0].isin(list(values))
+        case Eq() | Lt() | Lte() | Gt() | Gte():
+            column, kind = layout.fields.get(node.field, (None, "none"))
+            if column is not None and kind == tag_of(node.value) and kind != "bool" and node.value == node.value:
+                return column == F.lit(node.value) if isinstance(node, Eq) else _ORDER[type(node)](column, F.lit(node.value))
+    return None
+
+
+def condition(node: Any, layout: Layout) -> Column:
+    """The filter for use in `where` only: over columns it also carries plain predicates, which reach
+    the scan as the total ones cannot.  It may be null where it is not true."""
+    total = compile_filter(node, layout)
+    plain = _implied(node, layout) if isinstance(layout, ColumnLayout) else None
+    return total if plain is None else plain & total
+
+
 _JSON = {"eq": Eq, "ne": Ne, "lt": Lt, "lte": Lte, "gt": Gt, "gte": Gte, "contains": Contains}
 
 

@@ -263,9 +263,11 @@ def search(
     qkind = "long" if queries and isinstance(queries[0][0], int) else "string"
     flagged = graphs.withColumn("ok", F.lit(True)) if admitted is None else graphs.join(admitted.select("id", F.lit(True).alias("ok")).distinct(), "id", "left")
 
+    everything = admitted is None
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         g = _load(pdf, metric, config)
-        ok = None if admitted is None else set(pdf.loc[pdf["ok"].notna(), "id"])
+        ok = None if everything else set(pdf.loc[pdf["ok"].notna(), "id"])
         rows = [(q, key, float(s)) for q, v in queries for key, s in g.search(v, k, None, None if ok is None else ok.__contains__, ef)]
         return pd.DataFrame(rows, columns=["query_id", "id", "score"])
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import metrics
 from ..functions.text import tokens
 from ..operators import hnsw, knn, lexical
-from ..operators.filters import And, ColumnLayout, Contains, Eq, Exists, Gt, Gte, In, Lt, Lte, MapLayout, Ne, Not, Or, compile_filter
+from ..operators.filters import And, ColumnLayout, Contains, Eq, Exists, Gt, Gte, In, Lt, Lte, MapLayout, Ne, Not, Or, compile_filter, condition
 from ..operators.fusion import by_rank, fuse_rrf, hybrid
 from ..session import work_dir
 from ..sources import payloads
@@ -196,7 +196,7 @@ _HIT_SQL = "has_payload and coalesce(p_lang = 'en', false) and coalesce(p_n_char
 @register("knn_filtered", f"with {P} {ranked_sql(top_sql('cosine', _HIT_SQL))}")
 def knn_filtered(spark: SparkSession, d: str) -> DataFrame:
     """Over payload columns: the predicate reaches the scans."""
-    return shown(knn.top_k(points(spark, d), vectors(spark, d)[0][1], 10, Metric.COSINE, compile_filter(_HIT, columns())))
+    return shown(knn.top_k(points(spark, d), vectors(spark, d)[0][1], 10, Metric.COSINE, condition(_HIT, columns())))
 
 
 @register("knn_filtered_hydrated", f"with {P} select h.rank, h.id, h.score, p.p_lang as lang, p.p_n_chars as n_chars from ({ranked_sql(top_sql('dot', _HIT_SQL))}) h join p on p.id = h.id")
@@ -315,7 +315,7 @@ def hybrid_both(spark: SparkSession, d: str) -> DataFrame:
 
 @register("hybrid_filtered", f"with {P}, {_PDOCS} {ranked_sql(fused_sql(top_sql('cosine', _HIT_SQL, 40), bm25_sql(TEXT, _HIT_SQL, 40, 'pdocs'), 10), _AS_SINGLE)}")
 def hybrid_filtered(spark: SparkSession, d: str) -> DataFrame:
-    return _hybrid(spark, d, HybridQuery(10, vectors(spark, d)[0][1], TEXT), compile_filter(_HIT, columns()))
+    return _hybrid(spark, d, HybridQuery(10, vectors(spark, d)[0][1], TEXT), condition(_HIT, columns()))
 
 
 @register("hybrid_dense_only", f"with {P} {ranked_sql(top_sql('dot'), _AS_SINGLE)}")
