@@ -79,7 +79,7 @@ class BitPlanes:
         self.n, lanes = len(fps), -(-len(fps) // 64)
         bits = np.zeros((lanes * 64, 64), np.uint8)
         bits[: self.n] = np.unpackbits(fps.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        self.planes = np.packbits(bits.T, axis=1, bitorder="little").view("<u8")  # (64, lanes)
+        self.planes = np.ascontiguousarray(np.packbits(bits.T, axis=1, bitorder="little")).view("<u8")  # (64, lanes)
         self.lanes = lanes
 
     def within(self, query: int, radius: int, start: int = 0) -> np.ndarray:
