@@ -67,7 +67,7 @@ def model(templates: tuple[tuple[str, str], ...] = TEMPLATES) -> tuple[dict[str,
 
 
 def terms(text: Column) -> Column:
-    parts = F.transform(F.split(F.lower(text), TERM), lambda x: F.trim(F.lit("."), x))
+    parts = F.transform(F.split(F.lower(text), TERM), lambda x: F.trim(x, F.lit(".")))
     return F.filter(parts, lambda x: x != "")
 
 
