@@ -19,7 +19,9 @@ def single(x: Column | float) -> Column:
 
 
 def vector_literal(v: Sequence[float]) -> Column:
-    return F.array(*[single(float(x)) for x in np.asarray(v, np.float32)])
+    """An array of floats.  One string that the optimizer folds, as thousands of literals would slow
+    the planning of wide vectors; the digits are enough to give each float back exactly."""
+    return F.split(F.lit(",".join(repr(float(x)) for x in np.asarray(v, np.float32))), ",").cast("array<float>")
 
 
 def _fold(terms: Column) -> Column:

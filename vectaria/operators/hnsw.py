@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from ..types import DimensionMismatch, DuplicateId, HnswConfig, InvalidArgument, Metric, UnsupportedMetric, check_vector
 
 TOP_LEVEL = 64
+POINTS_PER_SHARD = 100_000
 _M64 = (1 << 64) - 1
 
 
@@ -225,9 +226,11 @@ class Graph:
         return g
 
 
-def build(points: DataFrame, metric: Metric, config: HnswConfig = HnswConfig(), shards: int = 1, id_column: str = "id", vector: str = "vector") -> DataFrame:
+def build(points: DataFrame, metric: Metric, config: HnswConfig = HnswConfig(), shards: int | None = None, id_column: str = "id", vector: str = "vector") -> DataFrame:
     """The graphs as rows: shard, node, id, level, dead, vector, links, entry, rng.  A shard's nodes
-    are numbered in id order.  Choose `shards` so that one fits a worker: some 100 000 points."""
+    are numbered in id order.  A shard is held whole by one worker; by default there are as many as
+    give each some POINTS_PER_SHARD points."""
+    shards = shards or max(1, -(-points.count() // POINTS_PER_SHARD))
     kind = dict(points.dtypes)[id_column]
     schema = f"shard int, node long, id {kind}, level int, dead boolean, vector array<float>, links array<array<long>>, entry long, rng string"
 

@@ -14,6 +14,8 @@ from ..types import InvalidArgument, Metric, check_vector
 QUERIES_AT_ONCE = 256
 #: Above this k the rows are counted first.
 LARGE_K = 100_000
+#: Hits of so many rows at most (id, score, rank) are broadcast.
+BROADCAST_HITS = 10_000
 
 
 def check_k(k: int) -> int:
@@ -71,7 +73,8 @@ def batch_top_k(
     return out
 
 
-def hydrate(hits: DataFrame, points: DataFrame, columns: Sequence[str], id_column: str = "id") -> DataFrame:
-    """Wide columns only for the winners: at most k hits are broadcast against the points."""
+def hydrate(hits: DataFrame, points: DataFrame, columns: Sequence[str], k: int, id_column: str = "id") -> DataFrame:
+    """Wide columns only for the winners.  The hits, k rows at most, are broadcast against the points
+    as long as k is small."""
     wide = points.select(F.col(id_column).alias("id"), *columns)
-    return wide.join(F.broadcast(hits), "id", "right")
+    return wide.join(F.broadcast(hits) if k <= BROADCAST_HITS else hits, "id", "right")

@@ -203,7 +203,7 @@ def knn_filtered(spark: SparkSession, d: str) -> DataFrame:
 def knn_filtered_hydrated(spark: SparkSession, d: str) -> DataFrame:
     p = with_payload(points(spark, d))
     hits = shown(knn.top_k(p, vectors(spark, d)[0][1], 10, Metric.DOT, compile_filter(_HIT, MapLayout(F.col("payload")))))
-    out = knn.hydrate(hits, p, ["payload"])
+    out = knn.hydrate(hits, p, ["payload"], 10)
     return out.select("rank", "id", "score", F.col("payload")["lang"]["s"]["t"].alias("lang"), F.col("payload")["n_chars"]["s"]["i"].alias("n_chars"))
 
 

@@ -203,7 +203,7 @@ class Collection:
         row = lexical.corpus_stats(self.live()).first()
         self._commit(self.manifest() | {"postings": {"folder": folder, "seq": m["seq"], "n": row.n, "total": row.total}})
 
-    def build_graph(self, shards: int = 1) -> None:
+    def build_graph(self, shards: int | None = None) -> None:
         m = self.manifest()
         folder = f"graph-{m['seq']:08d}-{uuid.uuid4().hex}"
         hnsw.build(self.live(), self.meta.metric, self.meta.hnsw or hnsw.HnswConfig(), shards).write.parquet(f"{self.folder}/{folder}")
@@ -244,7 +244,7 @@ class Collection:
         """(id, score, payload), best first."""
         check_vector(q.vector, self.meta.dimension)
         hits = self.dense(q.vector, q.k, self._metric(q.metric), q.filter)
-        return knn.hydrate(hits, self.live(), ["payload"]).select("id", "score", "payload").orderBy(F.desc("score"), "id")
+        return knn.hydrate(hits, self.live(), ["payload"], q.k).select("id", "score", "payload").orderBy(F.desc("score"), "id")
 
     def search_hybrid(self, q: HybridQuery) -> DataFrame:
         """(id, score, payload), best first."""
@@ -252,7 +252,7 @@ class Collection:
             check_vector(q.vector, self.meta.dimension)
             metric = self._metric(q.metric)
         hits = hybrid_search(q, lambda d: self.dense(q.vector, d, metric, q.filter), lambda d: self.lexical(q.text, d, q.filter))
-        return knn.hydrate(hits, self.live(), ["payload"]).orderBy("rank").select("id", "score", "payload")
+        return knn.hydrate(hits, self.live(), ["payload"], q.k).orderBy("rank").select("id", "score", "payload")
 
     def get(self, key: Any) -> DataFrame:
         return self.live().where(F.col("id") == key)
