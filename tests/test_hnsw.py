@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from vectaria.measure import run
+from vectaria.measure import main, run
 from vectaria.operators import hnsw
 from vectaria.types import DimensionMismatch, DuplicateId, HnswConfig, InvalidArgument, Metric, UnsupportedMetric
 
@@ -99,3 +99,9 @@ def test_statistics():
     assert hnsw.nearest_rank([3, 1, 2, 4], 0.5) == 2 and hnsw.nearest_rank([1.0], 0.99) == 1
     with pytest.raises(InvalidArgument):
         hnsw.nearest_rank([], 0.5)
+
+
+@pytest.mark.parametrize("backend, least", [("flat", 1.0), ("stored", 1.0), ("graph", 0.9)])
+def test_harness(spark, backend, least):
+    report = main(["--backend", backend, "--metric", "euclidean", "--dimension", "8", "--points", "200", "--queries", "5"], spark)
+    assert report.recall >= least and report.queries == 5
