@@ -59,6 +59,11 @@ def points(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def bare(spark: SparkSession, d: str) -> DataFrame:
+    """id and vector, where nothing else of a point is asked for."""
+    return _table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+
+
 FIELDS = {
     "label": "int", "lang": "text", "source": "text", "n_chars": "int", "kchars": "float", "toxic": "bool", "quality": "int", "tags": "[text]",
 }
@@ -115,7 +120,7 @@ def shown(hits: DataFrame, digits: int | None = None) -> DataFrame:
 
 
 def _knn(metric: Metric, k: int = 10) -> Query:
-    return lambda spark, d: shown(knn.top_k(points(spark, d), vectors(spark, d)[0][1], k, metric))
+    return lambda spark, d: shown(knn.top_k(bare(spark, d), vectors(spark, d)[0][1], k, metric))
 
 
 for _m in Metric:
@@ -126,7 +131,7 @@ register("knn_k_gt_n", f"with {P} {ranked_sql(top_sql('cosine', k=1_000_000_000)
 
 @register("knn_metric_override", f"with {P} {ranked_sql(top_sql('euclidean', k=7))}")
 def knn_metric_override(spark: SparkSession, d: str) -> DataFrame:
-    c = _collection(spark, points(spark, d).select("id", "vector"))
+    c = _collection(spark, bare(spark, d))
     return shown(c.search(SearchQuery(vectors(spark, d)[0][1], 7, Metric.EUCLIDEAN)))
 
 
@@ -135,7 +140,7 @@ _ZERO = "z as (select id, case when id % 7 = 3 then list_transform(vector, lambd
 
 @register("knn_zero_norm", f"with {P}, {_ZERO} {ranked_sql(top_sql('cosine', source='z', k=1_000_000_000))}")
 def knn_zero_norm(spark: SparkSession, d: str) -> DataFrame:
-    p = points(spark, d).select("id", F.when(F.col("id") % 7 == 3, F.transform("vector", lambda x: x * F.lit(0).cast("float"))).otherwise(F.col("vector")).alias("vector"))
+    p = bare(spark, d).select("id", F.when(F.col("id") % 7 == 3, F.transform("vector", lambda x: x * F.lit(0).cast("float"))).otherwise(F.col("vector")).alias("vector"))
     return shown(knn.top_k(p, vectors(spark, d)[0][1], 1_000_000_000))
 
 
@@ -146,7 +151,7 @@ _BATCH = """select query_id, rank, id, cast(s as double) as score from
 
 @register("knn_batch_queries", f"with {P}, {_QUERIES} {_BATCH}")
 def knn_batch_queries(spark: SparkSession, d: str) -> DataFrame:
-    found = knn.batch_top_k(points(spark, d), vectors(spark, d, QUERY_IDS), 5)
+    found = knn.batch_top_k(bare(spark, d), vectors(spark, d, QUERY_IDS), 5)
     return found.select(F.col("query_id").cast("long").alias("query_id"), "rank", "id", F.col("score").cast("double").alias("score"))
 
 
@@ -401,7 +406,7 @@ def delete_by_filter(spark: SparkSession, d: str) -> DataFrame:
 @register("describe_counts", "select 'all' as name, count(*) as count from embeddings union all select 'none', 0 union all select 'odd', count(*) filter (vec_id % 2 = 1) from embeddings")
 def describe_counts(spark: SparkSession, d: str) -> DataFrame:
     db = Database(spark, work_dir(spark, "database"))
-    p = points(spark, d).select("id", "vector")
+    p = bare(spark, d)
     for name, part in (("all", p), ("odd", p.where("id % 2 = 1")), ("none", None), ("gone", None)):
         db.create_collection(name, Metric.COSINE, 64, id_type="bigint")
         if part is not None:
@@ -438,14 +443,14 @@ def collection_hybrid(spark: SparkSession, d: str) -> DataFrame:
 
 def _graph(spark: SparkSession, d: str, shards: int) -> DataFrame:
     path = work_dir(spark, "graph")
-    hnsw.build(points(spark, d).select("id", "vector"), Metric.COSINE, HnswConfig(), shards).write.parquet(path)
+    hnsw.build(bare(spark, d), Metric.COSINE, HnswConfig(), shards).write.parquet(path)
     return spark.read.parquet(path)
 
 
 def _rescored(found: DataFrame, spark: SparkSession, d: str, queries: list[tuple[int, list[float]]]) -> DataFrame:
     """Hits with the exact score, as the graph's own comes from another order of additions."""
     hits = F.broadcast(found.select("query_id", "id"))
-    both = points(spark, d).select("id", "vector").join(hits, "id")
+    both = bare(spark, d).join(hits, "id")
     s = reduce(lambda a, q: a.when(F.col("query_id") == q[0], metrics.score_to(Metric.COSINE, F.col("vector"), q[1])), queries, F.when(F.lit(False), F.lit(None).cast("float")))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return both.select("query_id", "id", s.alias("score")).withColumn("rank", F.row_number().over(w)).select("query_id", "rank", "id", F.col("score").cast("double").alias("score"))
@@ -462,7 +467,7 @@ def hnsw_topk_full_ef(spark: SparkSession, d: str) -> DataFrame:
 def hnsw_recall(spark: SparkSession, d: str) -> DataFrame:
     ids = [r.vec_id for r in _table(spark, d, "embeddings").where("vec_id % 50 = 0").orderBy("vec_id").limit(50).select("vec_id").collect()]
     q = vectors(spark, d, ids)
-    exact = knn.batch_top_k(points(spark, d), q, 10).select(F.col("query_id").cast("long").alias("query_id"), "id")
+    exact = knn.batch_top_k(bare(spark, d), q, 10).select(F.col("query_id").cast("long").alias("query_id"), "id")
     found = hnsw.search(_graph(spark, d, 2), q, 10, Metric.COSINE).select("query_id", "id", F.lit(1).alias("hit"))
     return exact.join(found, ["query_id", "id"], "left").groupBy("query_id").agg((F.sum(F.coalesce("hit", F.lit(0))) / F.count(F.lit(1))).alias("recall"))
 
