@@ -31,7 +31,7 @@ from .common import map_rows, prepare
 
 #: Entries of the arc table and of the word table at most; a full arc table starts
 #: anew, a full word table becomes the older of two.
-ARCS, WORDS = 1_000_000, 150_000
+ARCS, WORDS = 400_000, 80_000
 #: Texts of these characters only are normalised and split by Python's own functions: below
 #: U+0180 every character is in normal form C, and its class is the same in every Unicode version.
 PLAIN_END = 0x180
