@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectaria.llm import bpe, language_id, mixing, quality_rules, simhash
+from vectaria.llm import bpe, language_id, mixing, near_copies, quality_rules
 from vectaria.llm.common import written
 
 #: Cosine to the nearest language prototype under which a text counts as no language.
@@ -25,12 +25,13 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one that names it.  A row without an id
-    gets one from its text, behind all others."""
+    """One document of each group of near-duplicates, texts linked at a Jaccard similarity of 0.8 of
+    their 5-word shingles: the one with the smallest id.  A row without an id gets one from its
+    text, behind all others."""
     own = F.coalesce(F.col("doc_id"), F.shiftrightunsigned(F.xxhash64("text"), 2) + F.lit(1 << 62))
     keyed = docs.withColumn("__id", own)
-    groups = simhash.near_duplicates(keyed.select(F.col("__id").alias("doc_id"), "text"))
-    named = groups.where("doc_id = component_id").select(F.col("doc_id").alias("__id"))
+    groups = near_copies.near_copies(keyed.select(F.col("__id").alias("doc_id"), "text"))
+    named = groups.groupBy("root").agg(F.min("doc_id").alias("__id")).select("__id")
     return keyed.join(named, "__id", "left_semi").dropDuplicates(["__id"]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
