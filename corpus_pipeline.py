@@ -26,13 +26,15 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, texts linked at a Jaccard similarity of 0.8 of
-    their 5-word shingles: the one with the smallest id.  A row without an id gets one from its
-    text, behind all others."""
+    their 5-word shingles: the one with the smallest id, and among texts of one id the one with
+    the smallest hash.  A row without an id gets one from its text, behind all others."""
     own = F.coalesce(F.col("doc_id"), F.shiftrightunsigned(F.xxhash64("text"), 2) + F.lit(1 << 62))
-    keyed = docs.withColumn("__id", own)
+    keyed = docs.withColumn("__id", own).withColumn("__text", F.xxhash64("text"))
     groups = near_copies.near_copies(keyed.select(F.col("__id").alias("doc_id"), "text"))
-    named = groups.groupBy("root").agg(F.min("doc_id").alias("__id")).select("__id")
-    return keyed.join(named, "__id", "left_semi").dropDuplicates(["__id"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    named = groups.groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("x")).select(F.col("x.doc_id").alias("__id"), F.col("x.text_hash").alias("__text"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = keyed.join(named, ["__id", "__text"], "left_semi").groupBy("__id", "__text").agg(F.min(row).alias("__row"))
+    return kept.select("__row.*")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

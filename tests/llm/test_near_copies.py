@@ -57,3 +57,12 @@ def test_near_copies_share_a_place_in_the_prefix():
 def test_stage_links_near_copies_that_simhash_puts_far_apart(spark):
     d = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id in (1, 177, 6, 145, 2)")  # 7 and 11 bits apart
     assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, d, SF).collect()) == [1, 2, 6]
+
+
+def test_stage_keeps_unrelated_texts_of_one_id(spark):
+    one, two = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    rows = [(5, one, "en", "a", 1), (5, two, "en", "z", 2), (5, two, "en", "b", 2), (5, one, "en", "a", 1), (7, one, "en", "a", 1), (8, two, "en", "a", 1)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for parts in (1, 5):
+        out = corpus_pipeline.near_duplicates(spark, d.repartition(parts), SF)
+        assert sorted((r.doc_id, r.text, r.source) for r in out.collect()) == [(5, one, "a"), (5, two, "b")]
