@@ -209,11 +209,14 @@ def identify(docs: DataFrame, protos: dict[str, np.ndarray]) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, protos: dict[str, np.ndarray], least: float) -> DataFrame:
-    """The rows whose text has a language with a cosine of `least` or more; columns as in `docs`."""
+    """The rows whose text has a language with a cosine of `least` or more; columns as in `docs`.
+    Without any prototype there is nothing to compare with: all texts that have a letter stay."""
     prepare(docs.sparkSession)
     langs, matrix = as_matrix(protos)
 
     def keep(b: dict) -> list[bool]:
+        if not langs:
+            return text_vectors(b["text"])[1].tolist()
         return [p != UND and s >= least for p, s in zip(*classify(b["text"], langs, matrix))]
 
     return filter_rows(docs, keep, ["text"])
