@@ -1,7 +1,20 @@
 import corpus_pipeline
+from pyspark.sql import functions as F
+
+from vectaria.llm import mixing as M
 
 
 def test_language_stage_without_labels_keeps_texts_with_a_letter(spark):
     rows = [(1, "some clean text", None), (2, "12 34 !", None), (3, None, None), (4, "été", None)]
     d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     assert sorted(r.doc_id for r in corpus_pipeline.languages(spark, d, "").collect()) == [1, 4]
+
+
+def test_rows_without_id_meet_their_targets(spark):
+    source = F.concat(F.lit("s"), (F.col("id") % 3).cast("string"))
+    d = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("w "), F.col("id").cast("string")).alias("text"), source.alias("source"))
+    want = {r.source: r["__target"] for r in M.mix(d).collect()}
+    out = M.emit(d)
+    got = {r.source: r.n for r in out.groupBy("source").agg((2 * F.count("text")).alias("n")).collect()}
+    assert all(abs(got.get(s, 0) - t) < 0.1 * t for s, t in want.items())
+    assert sorted(r.text for r in out.collect()) == sorted(r.text for r in M.emit(d.repartition(5)).collect())

@@ -9,7 +9,8 @@ Only DataFrame functions: one aggregate by source (partial sums before the shuff
 with the source table, which is broadcast only if counted to be small and otherwise joined on
 salted keys, as one source may hold a third of all rows.
 
-Null text: size 0, taken 0.  Null source: a source of its own.  Null doc_id: drawn like an id.
+Null text: size 0, taken 0.  Null source: a source of its own.  Null doc_id: `emit` draws by the
+text's hash; `mix` by default, as the SQL of op9_mixing, draws all such rows alike.
 Repeated rows with one id are drawn alike.  An empty table gives an empty result.
 """
 
@@ -26,9 +27,10 @@ CAP = 3
 BROADCAST_SOURCES = 20_000
 
 
-def draw(doc_id: Column) -> Column:
-    """A number in [0, 1) from the md5 of the id."""
-    digest = F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
+def draw(doc_id: Column, text: Column | None = None) -> Column:
+    """A number in [0, 1) from the md5 of the id, or of the hash of `text` if the id is null."""
+    instead = F.lit("") if text is None else F.xxhash64(text).cast("string")
+    digest = F.md5(F.coalesce(doc_id.cast("string"), instead).cast("binary"))
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(16**13))
 
 
@@ -70,11 +72,11 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP
     return s.select("source", "source_size", F.when(full, limit.cast("double")).otherwise(share).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, keep: list[str] | None = None) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, keep: list[str] | None = None, by_text: bool = False) -> DataFrame:
     """Every document with `__size`, `__source_size`, `__target` and `__copies` beside the columns
-    of `keep` (all those of `docs` by default)."""
+    of `keep` (all those of `docs` by default).  `by_text`: rows without id are drawn by their text."""
     keep = docs.columns if keep is None else keep
-    d = docs.select(*[F.col(f"`{c}`") for c in keep], n_words(docs["text"]).alias("__size"), docs["source"].alias("__source"), draw(docs["doc_id"]).alias("__draw"))
+    d = docs.select(*[F.col(f"`{c}`") for c in keep], n_words(docs["text"]).alias("__size"), docs["source"].alias("__source"), draw(docs["doc_id"], docs["text"] if by_text else None).alias("__draw"))
     by = docs.select("source", n_words(F.col("text")).alias("__size")).groupBy("source").agg(F.sum("__size").alias("source_size"))
     t = written(targets(written(by, "sizes"), weights, cap), "targets").select(F.col("source").alias("__s"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"))
     if t.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
@@ -92,6 +94,6 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, kee
 
 def emit(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
     """The mixed corpus itself: each document as often as it is taken, columns as in `docs`."""
-    m = mix(docs, weights, cap).where("__copies > 0")
+    m = mix(docs, weights, cap, by_text=True).where("__copies > 0")
     m = m.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))))
     return m.select(*[F.col(f"`{c}`") for c in docs.columns])
