@@ -49,26 +49,58 @@ def near(r, n, spread):
     return np.unique(np.array(out, np.uint64))
 
 
+@pytest.mark.parametrize("radius", [0, 1, 2, 3, 5])
+def test_bit_planes_equal_popcounts(radius, monkeypatch):
+    r = random.Random(radius)
+    groups = [near(r, n, 3) for n in (1, 2, 2, 63, 3, 64, 200, 2, 65, 1)]
+    fps, ends = np.concatenate(groups), np.repeat(np.cumsum([len(g) for g in groups]), [len(g) for g in groups])
+    far = np.bitwise_count(fps[:, None] ^ fps[None, :])
+    want = {(i, j) for i in range(len(fps)) for j in range(i + 1, int(ends[i])) if far[i, j] <= radius}
+    for blocks in (S.BLOCKS, 7):
+        monkeypatch.setattr(S, "BLOCKS", blocks)
+        planes = S.BitPlanes(fps, ends)
+        got = [(int(a), int(b)) for i, j in planes.pairs(radius) for a, b in zip(i, j)]
+        assert len(got) == len(set(got)) and set(got) == want
+        assert 0 < planes.abandoned < planes.blocks
+    assert list(S.BitPlanes(np.zeros(0, np.uint64), np.zeros(0, np.int64)).pairs(radius)) == []
+
+
 @pytest.mark.parametrize("n", [3, 70, 700, 5000])
-def test_bit_planes_and_forest(n):
+def test_forest_equals_brute_force(n):
     fps = near(random.Random(n), n, 3)
-    n, planes = len(fps), S.BitPlanes(fps)
-    for i in range(0, n, max(1, n // 20)):
-        for radius in (0, 1, 2, 3, 5):
-            want = np.flatnonzero(np.bitwise_count(fps ^ fps[i]) <= radius)
-            assert np.array_equal(planes.within(int(fps[i]), radius), want)
+    n = len(fps)
     edges = [(i, j) for i in range(n) for j in i + 1 + np.flatnonzero(np.bitwise_count(fps[i + 1 :] ^ fps[i]) <= 2)]
     at = {int(x): i for i, x in enumerate(fps.view(np.int64))}
-    tree = [(at[a], at[b]) for a, b in S.forest(fps.view(np.int64))]
+    tree = [(at[a], at[b]) for a, b in S.forest([fps.view(np.int64)])]
     assert len(tree) < n and components(n, tree) == components(n, edges)
+    one = S.forest([fps[:2].view(np.int64), fps.view(np.int64), fps[:1].view(np.int64), fps[2:].view(np.int64)])
+    assert components(n, [(at[a], at[b]) for a, b in one]) == components(n, edges)
+
+
+def test_real_texts_are_compared_in_bit_planes(spark):
+    """Real texts and variants of them: all links come from blocks of the bit planes, some abandoned."""
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("n_chars > 1500").limit(150).collect()]
+    texts += [" ".join([*t.split()[:-k], "other"]) for t in texts for k in (1, 2, 5)]
+    fps = np.unique(np.array([S.fingerprint(t) for t in texts], np.uint64))
+    files, seen = {}, [0, 0]
+    for k, m in enumerate(S.masks(2)):
+        for x in fps.tolist():
+            files.setdefault((k, x & m), []).append(x)
+    tree = S.forest([np.array(f, np.uint64).view(np.int64) for f in files.values()], seen=seen)
+    assert 0 < seen[1] < seen[0] and len(tree) > 50
+    at = {int(x): i for i, x in enumerate(fps.view(np.int64))}
+    close = [(i, j) for i in range(len(fps)) for j in i + 1 + np.flatnonzero(np.bitwise_count(fps[i + 1 :] ^ fps[i]) <= 2)]
+    assert components(len(fps), [(at[a], at[b]) for a, b in tree]) == components(len(fps), close)
 
 
-def test_every_pair_within_the_radius_shares_a_file():
+@pytest.mark.parametrize("radius", [0, 2, 3, 4])
+def test_every_pair_within_the_radius_shares_a_file(radius):
     r = random.Random(2)
-    assert len(S.MASKS) == 15 and all(m.bit_count() >= 42 for m in S.MASKS)
+    masks = S.masks(radius)
+    assert len(S.masks(2)) == 15 and all(m.bit_count() >= 42 for m in S.masks(2))
     for _ in range(300):
-        d = sum(1 << b for b in r.sample(range(64), 2))
-        assert any(not d & m for m in S.MASKS)
+        d = sum(1 << b for b in r.sample(range(64), radius))
+        assert any(not d & m for m in masks)
 
 
 def test_connected_components(spark):
