@@ -31,7 +31,7 @@ def runs(spark):
         "tokens": lambda d: token_counts.with_edits(edits(d)),
         "simhash": lambda d: simhash.near_duplicates(d),
         "toxicity": lambda d: toxicity.severity(d, toxicity.fit(d, graded)),
-        "mixing": lambda d: mixing.mix(d, keep=["doc_id"]),
+        "mixing": lambda d: mixing.mix(d),
         "bpe": lambda d: bpe.encode_decode(d),
     }
 

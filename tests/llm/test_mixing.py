@@ -40,13 +40,13 @@ def test_mix_meets_targets_and_reruns_agree(spark, monkeypatch, broadcast):
     monkeypatch.setattr(M, "BROADCAST_SOURCES", broadcast)
     d = docs(spark)
     rows = M.mix(d).collect()
-    assert len(rows) == 4000 and all(r["__size"] == r.doc_id % 9 and 0 <= r["__copies"] <= 3 for r in rows)
+    assert len(rows) == 4000 and all(r["size"] == r.doc_id % 9 and 0 <= r["copies"] <= 3 for r in rows)
     for s in {r.source for r in rows}:
         mine = [r for r in rows if r.source == s]
-        assert sum(r["__size"] for r in mine) == mine[0]["__source_size"]
-        assert sum(r["__size"] * r["__copies"] for r in mine) == pytest.approx(mine[0]["__target"], rel=0.12)
-    again = {r.doc_id: r["__copies"] for r in M.mix(d.repartition(7)).collect()}
-    assert again == {r.doc_id: r["__copies"] for r in rows}
+        assert sum(r["size"] for r in mine) == mine[0]["source_size"]
+        assert sum(r["size"] * r["copies"] for r in mine) == pytest.approx(mine[0]["target"], rel=0.12)
+    again = {r.doc_id: r["copies"] for r in M.mix(d.repartition(7)).collect()}
+    assert again == {r.doc_id: r["copies"] for r in rows}
     out = M.emit(d)
     assert out.columns == d.columns and out.count() == sum(again.values())
 
@@ -54,3 +54,12 @@ def test_mix_meets_targets_and_reruns_agree(spark, monkeypatch, broadcast):
 def test_draw_is_uniform(spark):
     x = [r.x for r in spark.range(4000).select(M.draw(F.col("id")).alias("x")).collect()]
     assert 0 <= min(x) and max(x) < 1 and abs(sum(x) / len(x) - 0.5) < 0.02
+
+
+def test_emit_keeps_columns_of_any_name(spark):
+    names = ("size", "copies", "copy", "row", "target", "source_size", "s", "t", "salt", "draw", "is_null", "part", "weight", "__size", "__source", "__copies", "col")
+    d = docs(spark).withColumns({c: F.concat(F.lit(c), F.col("doc_id").cast("string")) for c in names})
+    out = M.emit(d)
+    assert out.columns == d.columns
+    rows = out.collect()
+    assert len(rows) > 1000 and all(r[c] == f"{c}{r.doc_id}" for r in rows for c in names)

@@ -94,7 +94,8 @@ def test_top_k_equals_brute_force(spark, monkeypatch):
     rows = [(i, [float(x) for x in np.where(r.random(7) < 0.6, 0, np.round(r.normal(size=7), 1))]) for i in range(450)]
     d = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
     q = {i: np.floor(np.array(v, np.float32).astype(float) * 1024).astype(np.int64) for i, v in rows}
-    for block, at_once in ((K.BLOCK, K.QUERY_BLOCK), (50, 2)):
+    for block, at_once, size in ((K.BLOCK, K.QUERY_BLOCK, K.QUERY_BYTES), (50, 2, K.QUERY_BYTES), (50, 100, 48 * 7)):
+        monkeypatch.setattr(K, "QUERY_BYTES", size)
         monkeypatch.setattr(K, "BLOCK", block)
         monkeypatch.setattr(K, "QUERY_BLOCK", at_once)
         got = K.top_k(d, F.col("vec_id") % 100 == 0, k=6).collect()
@@ -140,6 +141,52 @@ def test_grades_on_held_out_texts(spark):
     assert np.mean([abs(p.severity - g) for p, g in pairs]) < 0.5
 
 
+def brute_severity(words, weights, cuts):
+    s = sum(weights.get(w, 0.0) for w in words)
+    return [1 / (1 + math.exp(c - s)) for c in cuts]
+
+
+def test_severity_equals_brute_force(spark):
+    """The whole query on a small table: sample, vocabulary and prediction one text at a time; the fit
+    itself against the loss of moved weights (descent ends after a fixed number of rounds, within 1 % of the least)."""
+    r = random.Random(7)
+    rows = [(i, " ".join(r.choices([f"w{k}" for k in "abcdefgh"], k=r.randrange(12)) + ["vile"] * (i % 5 == 0) + ["Rude!"] * (i % 7 == 0)), int(i % 5 == 0) + int(i % 7 == 0)) for i in range(300)]
+    rows += [(300, None, 2), (301, "", 1), (302, "vile", None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, grade int")
+    model = X.fit(d.select("doc_id", "text"), d.select("doc_id", "grade"))
+    sample = [(X.features(t), g) for _, t, g in rows if g is not None]
+    mean = np.mean([g for _, g in sample])
+    spread = {w: sum(g - mean for f, g in sample if w in f) / math.sqrt(sum(w in f for f, _ in sample)) for w in {w for f, _ in sample for w in f}}
+    assert set(model.weights) <= set(spread) and {"vile", "rude"} <= set(model.weights) and {max(spread, key=spread.get)} <= {"vile", "rude"}
+
+    def loss(weights, cuts):
+        total = 0.0
+        for f, g in sample:
+            p = [1.0, *brute_severity(f, weights, cuts), 0.0]
+            total -= math.log(p[g] - p[g + 1])
+        return total / len(sample) + 2e-4 * sum(map(abs, weights.values()))
+
+    least = loss(model.weights, model.cuts)
+    for w in model.weights:
+        for step in (-0.05, 0.05):
+            assert loss(model.weights | {w: model.weights[w] + step}, model.cuts) > 0.99 * least
+    for j in range(2):
+        for step in (-0.05, 0.05):
+            assert loss(model.weights, [c + step * (i == j) for i, c in enumerate(model.cuts)]) > 0.99 * least
+    got = {x.doc_id: x for x in X.severity(d, model).collect()}
+    for i, t, _ in rows:
+        p = brute_severity(X.features(t), model.weights, model.cuts)
+        assert got[i].severity == pytest.approx(sum(p)) and got[i].grade == sum(x > 0.5 for x in p)
+        assert got[i].toxic == (bool(t) and p[0] > X.FLAG)
+
+
+def test_repeated_ids_lose_no_grade(spark):
+    rows = [(i % 30, f"mild words {i}" if i % 30 else "foul words", 1 if i % 30 == 0 else 0) for i in range(3000)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, grade int")
+    model = X.fit(d.select("doc_id", "text"), d.select("doc_id", "grade").distinct(), fit_rows=30)
+    assert len(model.cuts) == 1
+
+
 # -- Licence scans -------------------------------------------------------------------------------
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -14,8 +15,8 @@ from pyspark.sql import functions as F
 #: White space that separates words, as a Java and Python regular expression class.
 WHITE = r"[ \t-\r]+"
 
-#: Rows per Arrow batch handed to Python; keeps a batch of very long texts small.
-ARROW_ROWS = 1000
+#: Rows and bytes of an Arrow batch handed to Python, at most (a single longer row excepted).
+ARROW_ROWS, ARROW_BYTES = 1000, 16 << 20
 
 
 def words(text: Column) -> Column:
@@ -28,18 +29,26 @@ def n_words(text: Column) -> Column:
 
 
 def prepare(spark: SparkSession) -> None:
-    """Let Python workers import this package and give them small batches."""
+    """Let Python workers import this package and give them small batches.  Spark reads these limits
+    from the session when a plan runs, so they stay set; a smaller one of the caller's is kept."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    for limit, most in (("maxRecordsPerBatch", ARROW_ROWS), ("maxBytesPerBatch", ARROW_BYTES)):
+        name = f"spark.sql.execution.arrow.{limit}"
+        now = spark.conf.get(name)
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(name, str(most))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of `spark.checkpoint.dir`; a folder of our own only where it is unset (tests)."""
+    """The folder of `spark.checkpoint.dir`; a folder of our own only where it is unset in a local
+    session (tests).  On a cluster each machine would have its own, so there it is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="vectaria-")
         spark.conf.set("spark.checkpoint.dir", found)
     if not spark.sparkContext.getCheckpointDir():

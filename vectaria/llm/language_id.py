@@ -11,7 +11,9 @@ counts move.  Prediction is one pass without shuffle.
 
 Null text or text without a letter: `und`, score 0.  No training row: every text is `und`.
 Repeated rows get the same prediction.  Columns other than doc_id, text, lang are not read.
-Texts of any length are worked through in pieces, so memory does not grow with a text.
+Texts of any length are worked through in pieces of PIECE characters and slices of SLICE n-grams, so
+beside the text itself memory does not grow with it.  The prototypes are the model: 8 KB a language,
+held by the driver and sent to each task.
 """
 
 from __future__ import annotations
@@ -32,9 +34,9 @@ DIM, CLASSES, N = 1024, 64, 3
 CELLS = CLASSES**N
 SEED = 20177
 #: Characters worked on at a time.
-PIECE = 1 << 20
-#: Languages with prototypes; more labels than these are an error.
-MAX_LANGUAGES = 1000
+PIECE = 1 << 18
+#: n-grams bundled at a time, and n-grams whose vectors a worker keeps (1 KB each).
+SLICE, KEPT = 4096, 32_768
 
 _cache: dict[str, np.ndarray] = {}
 
@@ -59,18 +61,34 @@ def letter_vectors() -> np.ndarray:
     return _cache["letters"]
 
 
-def ngram_vectors(cells: np.ndarray) -> np.ndarray:
-    """Bound vectors of the n-grams with these cell numbers.  Kept once made: at most CELLS rows
-    of DIM bytes, and the pages of n-grams that never occur are never touched."""
+def weighted_sum(cells: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Sum of the n-grams' bound vectors, each times its count, in slices of SLICE n-grams.  Vectors of
+    the first KEPT n-grams that occur are kept; those of others are bound anew each time."""
     if "table" not in _cache:
-        _cache["table"], _cache["made"] = np.zeros((CELLS, DIM), np.int8), np.zeros(CELLS, bool)
-    table, made = _cache["table"], _cache["made"]
-    new = cells[~made[cells]]
-    for k in range(0, len(new), 4096):
-        part, v = new[k : k + 4096], letter_vectors()
-        table[part] = v[0][part // (CLASSES * CLASSES)] * v[1][part // CLASSES % CLASSES] * v[2][part % CLASSES]
-        made[part] = True
-    return table[cells]
+        _cache["table"], _cache["place"], _cache["used"] = np.zeros((KEPT, DIM), np.int8), np.full(CELLS, -1, np.int32), np.zeros(1, np.int64)
+    table, place, used = _cache["table"], _cache["place"], _cache["used"]
+    out = np.zeros(DIM)
+    for k in range(0, len(cells), SLICE):
+        part, count = cells[k : k + SLICE], n[k : k + SLICE]
+        at = place[part]
+        new = np.unique(part[at < 0])
+        if len(new):
+            make = new[: max(0, KEPT - int(used[0]))]
+            place[make] = np.arange(used[0], used[0] + len(make))
+            table[place[make]] = bind(make)
+            used[0] += len(make)
+            at = place[part]
+        kind = np.float32 if count.sum() < 1 << 24 else np.float64  # either way exact
+        have = at >= 0
+        out += count[have].astype(kind) @ table[at[have]].astype(kind)
+        if not have.all():
+            out += count[~have].astype(kind) @ bind(part[~have]).astype(kind)
+    return out
+
+
+def bind(cells: np.ndarray) -> np.ndarray:
+    v = letter_vectors()
+    return v[0][cells // (CLASSES * CLASSES)] * v[1][cells // CLASSES % CLASSES] * v[2][cells % CLASSES]
 
 
 def _pieces(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -144,11 +162,9 @@ def train(docs: DataFrame, where: Column | None = None) -> dict[str, np.ndarray]
     known = (known if where is None else known.where(where)).select("text", "lang")
     counts = map_rows(known, _count, "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n"))
     sums = map_rows(counts, _bundle, "lang string, at int, x double")
-    rows = sums.groupBy("lang", "at").agg(F.sum("x").alias("x")).limit((MAX_LANGUAGES + 1) * DIM).collect()  # DIM numbers a language
-    if len(rows) > MAX_LANGUAGES * DIM:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    rows = sums.groupBy("lang", "at").agg(F.sum("x").alias("x"))
     protos: dict[str, np.ndarray] = {}
-    for r in rows:
+    for r in rows.toLocalIterator():  # the model itself: DIM numbers a language, as many languages as there are labels
         protos.setdefault(r.lang, np.zeros(DIM))[r.at] = r.x
     return {k: v / (np.linalg.norm(v) or 1.0) for k, v in sorted(protos.items())}
 
@@ -160,14 +176,14 @@ def _bundle(batches: Iterable[dict]) -> Iterator[dict]:
         for lang in set(b["lang"]):
             at = langs == lang
             sums.setdefault(lang, np.zeros(DIM))
-            sums[lang] += n[at] @ ngram_vectors(cells[at]).astype(float)
+            sums[lang] += weighted_sum(cells[at], n[at])
     for lang, v in sums.items():
         yield {"lang": [lang] * DIM, "at": list(range(DIM)), "x": v.tolist()}
 
 
 def text_vectors(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Bundled vector of each text, and whether it has a letter."""
-    out, has = np.zeros((len(texts), DIM), np.float32), np.zeros(len(texts), bool)
+    out, has = np.zeros((len(texts), DIM)), np.zeros(len(texts), bool)
     for row, cell in _pieces(texts):
         keys, n = np.unique(row * CELLS + cell, return_counts=True)
         row, cell = keys // CELLS, keys % CELLS
@@ -175,7 +191,7 @@ def text_vectors(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         has[row[letter]] = True
         starts = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else []
         for a, b in zip(starts, [*starts[1:], len(row)]):
-            out[row[a]] += n[a:b].astype(np.float32) @ ngram_vectors(cell[a:b]).astype(np.float32)
+            out[row[a]] += weighted_sum(cell[a:b], n[a:b])
     return out, has
 
 
@@ -183,7 +199,7 @@ def classify(texts: list[str | None], langs: list[str], matrix: np.ndarray) -> t
     if not langs:
         return [UND] * len(texts), [0.0] * len(texts)
     v, has = text_vectors(texts)
-    norm = np.linalg.norm(v, axis=1)
+    norm = np.linalg.norm(v, axis=1)  # components are whole numbers, exact in any order of adding
     cos = (v @ matrix.T) / np.where(norm > 0, norm, 1)[:, None]
     best = cos.argmax(1)
     score = np.where(has, np.clip(cos[np.arange(len(v)), best], 0, 1), 0.0)

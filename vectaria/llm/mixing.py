@@ -11,7 +11,9 @@ salted keys, as one source may hold a third of all rows.
 
 Null text: size 0, taken 0.  Null source: a source of its own.  Null doc_id: `emit` draws by the
 text's hash; `mix` by default, as the SQL of op9_mixing, draws all such rows alike.
-Repeated rows with one id are drawn alike.  An empty table gives an empty result.
+Repeated rows with one id are drawn alike.  An empty table gives an empty result.  A text of any
+length is counted inside its row.  Columns but doc_id, text and source are carried by `emit`,
+whatever their names, and not read.
 """
 
 from __future__ import annotations
@@ -37,15 +39,15 @@ def draw(doc_id: Column, text: Column | None = None) -> Column:
 def source_weights(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     """Add `weight` to one row per source, by its place in code-point order, null last.  Places
     are counted by range partition, so sources are never sorted in one task."""
-    ranged = sizes.withColumn("__null", F.col("source").isNull()).repartitionByRange("__null", "source").withColumn("__part", F.spark_partition_id())
+    ranged = sizes.withColumn("is_null", F.col("source").isNull()).repartitionByRange("is_null", "source").withColumn("part", F.spark_partition_id())
     ranged = written(ranged, "sources")
-    w = Window.partitionBy("__part").orderBy("__null", "source")
-    per = {r["__part"]: r["n"] for r in ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a partition
+    w = Window.partitionBy("part").orderBy("is_null", "source")
+    per = {r["part"]: r["n"] for r in ranged.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a partition
     before, offsets = 0, []
     for p in sorted(per):
         offsets += [F.lit(p), F.lit(before)]
         before += per[p]
-    place = F.row_number().over(w) - 1 + (F.create_map(*offsets)[F.col("__part")] if offsets else F.lit(0))
+    place = F.row_number().over(w) - 1 + (F.create_map(*offsets)[F.col("part")] if offsets else F.lit(0))
     weight = F.element_at(F.array(*[F.lit(x) for x in weights]), (place % len(weights) + 1).cast("int"))
     return ranged.select("source", "source_size", weight.cast("long").alias("weight"))
 
@@ -72,28 +74,27 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP
     return s.select("source", "source_size", F.when(full, limit.cast("double")).otherwise(share).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, keep: list[str] | None = None, by_text: bool = False) -> DataFrame:
-    """Every document with `__size`, `__source_size`, `__target` and `__copies` beside the columns
-    of `keep` (all those of `docs` by default).  `by_text`: rows without id are drawn by their text."""
-    keep = docs.columns if keep is None else keep
-    d = docs.select(*[F.col(f"`{c}`") for c in keep], n_words(docs["text"]).alias("__size"), docs["source"].alias("__source"), draw(docs["doc_id"], docs["text"] if by_text else None).alias("__draw"))
-    by = docs.select("source", n_words(F.col("text")).alias("__size")).groupBy("source").agg(F.sum("__size").alias("source_size"))
-    t = written(targets(written(by, "sizes"), weights, cap), "targets").select(F.col("source").alias("__s"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"))
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, carry: bool = False, by_text: bool = False) -> DataFrame:
+    """doc_id, source, size, source_size, target and copies of every document; with `carry` also its whole row
+    as a struct `row`, in which no name can clash.  `by_text`: rows without id are drawn by their text."""
+    row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []
+    d = docs.select("doc_id", n_words(docs["text"]).alias("size"), "source", draw(docs["doc_id"], docs["text"] if by_text else None).alias("draw"), *row)
+    by = d.groupBy("source").agg(F.sum("size").alias("source_size"))
+    t = written(targets(written(by, "sizes"), weights, cap), "targets").withColumnRenamed("source", "s")
     if t.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
-        d = d.join(F.broadcast(t), F.col("__source").eqNullSafe(F.col("__s")), "left")
+        d = d.join(F.broadcast(t), F.col("source").eqNullSafe(F.col("s")), "left")
     else:
         salts = 16
-        d = d.withColumn("__salt", F.pmod(F.xxhash64("__draw", "__size"), F.lit(salts)).cast("int"))
-        t = t.withColumn("__t", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        d = d.join(t, F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__salt") == F.col("__t")), "left").drop("__salt", "__t")
-    rate = F.when(F.col("__source_size") > 0, F.least(F.col("__target") / F.col("__source_size"), F.lit(float(cap)))).otherwise(F.lit(0.0))
+        d = d.withColumn("salt", F.pmod(F.xxhash64("draw", "size"), F.lit(salts)).cast("int"))
+        t = t.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        d = d.join(t, F.col("source").eqNullSafe(F.col("s")) & (F.col("salt") == F.col("t")), "left")
+    rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(cap)))).otherwise(F.lit(0.0))
     whole = F.floor(rate)
-    copies = whole + F.when(F.col("__draw") < rate - whole, 1).otherwise(0)
-    return d.withColumn("__copies", copies.cast("long")).drop("__s", "__source", "__draw")
+    copies = whole + F.when(F.col("draw") < rate - whole, 1).otherwise(0)
+    return d.select("doc_id", "source", "size", "source_size", "target", copies.cast("long").alias("copies"), *["row"] * carry)
 
 
 def emit(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
     """The mixed corpus itself: each document as often as it is taken, columns as in `docs`."""
-    m = mix(docs, weights, cap, by_text=True).where("__copies > 0")
-    m = m.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))))
-    return m.select(*[F.col(f"`{c}`") for c in docs.columns])
+    m = mix(docs, weights, cap, carry=True, by_text=True).where("copies > 0")
+    return m.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")

@@ -53,9 +53,8 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = mixing.mix(_table(spark, sf_dir, "documents"), keep=["doc_id"])
-    size = F.col("__size")
-    return m.select("doc_id", size.alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("__copies") * size).alias("taken"))
+    m = mixing.mix(_table(spark, sf_dir, "documents"))
+    return m.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,8 +6,8 @@ dimensions one at a time and scatters weight x weight into a dense score array o
 partition selection keeps the block's best, which are merged into the task's, and a window over
 (query, partial results) merges the tasks'.
 
-Queries are stated rows against all rows, in blocks: at most `QUERY_BLOCK` queries are sent to
-the executors at a time (a proven bound), and each further block is another pass over the
+Queries are stated rows against all rows, in blocks: at most `QUERY_BLOCK` queries and `QUERY_BYTES`
+are sent to the executors at a time (a proven bound), and each further block is another pass over the
 candidates whose result is written to the shared folder.  A task's memory is one block of
 candidates and k results a query.
 
@@ -30,7 +30,8 @@ from .common import map_rows, prepare, written
 
 SCALE = 1024
 K = 10
-QUERY_BLOCK = 32_768
+#: Queries of a pass at most, and the bytes they may take on the driver at DRIVER_BYTES a component.
+QUERY_BLOCK, QUERY_BYTES, DRIVER_BYTES = 32_768, 128 << 20, 48
 #: Candidates whose postings a task holds at a time.
 BLOCK = 8192
 LONG = (1 << 63) - 1
@@ -139,12 +140,13 @@ def top_k(points: DataFrame, is_query: Column, k: int = K, scale: int = SCALE) -
     prepare(spark)
     p = points.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where(F.col("vec_id").isNotNull() & valid(F.col("embedding")))
     queries = p.where(is_query).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    n = queries.count()
-    chunks = max(1, -(-n * 5 // (QUERY_BLOCK * 4))) if n > QUERY_BLOCK else 1
+    size = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("width")).first()
+    block = max(1, min(QUERY_BLOCK, QUERY_BYTES // (DRIVER_BYTES * max(1, size.width or 0))))
+    chunks = max(1, -(-size.n * 5 // (block * 4))) if size.n > block else 1
     parts = []
     for c in range(chunks):
         mine = queries if chunks == 1 else queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(chunks)) == c)
-        rows = mine.orderBy("vec_id").collect()  # QUERY_BLOCK rows or, by the hash's spread, few more
+        rows = mine.orderBy("vec_id").collect()  # `block` rows or, by the hash's spread, few more
         qs = quantise([r.embedding for r in rows], scale)
         found = _search(p, [r.vec_id for r in rows], qs, k, scale)
         parts.append(found if chunks == 1 else written(found, "topk"))
