@@ -37,10 +37,29 @@ def test_like_the_library_on_any_text(text):
 def test_small_tables_change_nothing(monkeypatch):
     r = random.Random(1)
     texts = [" ".join("".join(r.choices("abcdefghinorstu", k=r.randrange(1, 14))) for _ in range(40)) for _ in range(40)]
-    monkeypatch.setattr(B, "ARCS", 5)
-    monkeypatch.setattr(B, "WORDS", 3)
+    monkeypatch.setattr(B, "TABLE_BYTES", 5000)
+    monkeypatch.setattr(B, "WORD_BYTES", 20_000)
     for t in texts:
         same(t)
+        assert BPE.auto.size < 40_000 and BPE.known_size <= 10_000
+
+
+def test_every_word_comes_from_the_table():
+    """Tokens of the vocabulary too: each symbol of a new word is one transition."""
+    one = B.Bpe(B.default_file())
+    words = ["the", "world", "zzqx", "don", "a", "internationalization"]
+    asked = []
+    spell = one.auto.spell
+    one.auto.spell = lambda w: asked.append(w) or spell(w)
+    for w in words * 2:
+        assert one.encode(w) == LIB.encode(w, add_special_tokens=False).ids
+    assert asked == words
+    rows = len(one.auto.rows)
+    one.known.clear()
+    table = dict(one.auto.table)
+    for w in words:
+        assert one.encode(w) == LIB.encode(w, add_special_tokens=False).ids
+    assert one.auto.table == table and len(one.auto.rows) == rows  # nothing is compiled twice
 
 
 def test_automaton_of_few_merges_equals_merging():
@@ -63,7 +82,7 @@ def test_automaton_of_few_merges_equals_merging():
                         break
                     _, i = min(ranks)
                     parts[i : i + 2] = [parts[i] + parts[i + 1]]
-                assert [auto.labels[t] for t in auto.encode(word, "")] == parts, (merges, word)
+                assert [auto.labels[t] for t in auto.encode(word)] == parts, (merges, word)
 
 
 def test_frames(spark):
@@ -72,3 +91,14 @@ def test_frames(spark):
     assert {r.doc_id: r.ids for r in ids.collect()}[2] == [] and {r.doc_id: r.text for r in B.decode(ids).collect()}[1] == "hello</w> world</w>"
     got = {r.doc_id: r for r in B.encode_decode(d).collect()}
     assert got[2].n_tokens == 0 and got[2].ids_sha256 == got[3].decoded_sha256 == hashlib.sha256(b"").hexdigest()
+
+
+def test_memory_of_ever_new_words():
+    """Two million letters without repetition: the tables stay within their bytes."""
+    r = random.Random(8)
+    one = B.Bpe(B.default_file())
+    for _ in range(40):
+        one.digests(" ".join("".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=10)) for _ in range(5000)))
+        assert one.auto.size < 1.1 * B.TABLE_BYTES and one.known_size < B.WORD_BYTES
+    t = "x" * 200_000
+    assert one.encode(t) == LIB.encode(t, add_special_tokens=False).ids

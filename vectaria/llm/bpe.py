@@ -4,17 +4,23 @@ van der Merwe 2024).
 The automaton starts as one state with an arc to itself for every base symbol.  The merges are
 compiled in order: the gadget of a merge (u, v) -> w redirects the arcs labelled u to a state
 that lacks the arc v, and gives every state with a path u, v an arc w past it.  The finished
-automaton accepts exactly the token sequences that BPE gives, so one left-to-right pass over a
-pre-split word finds its only accepted path, whose labels are the tokens; decoding emits the
-labels of the arcs named by the ids.
+automaton accepts exactly the token sequences that BPE gives, so every prefix of a pre-split
+word has one accepted path.
 
 Arcs labelled u always lead to one and the same state, so a state is stored as its parent,
-the time of its copying and the arcs it lost; whether a state has an arc is derived from that and
-kept in a table, which is filled as words need it.  Compiling takes one step a merge; the table
-is bounded and can be emptied at any time.
+the time of its copying and the arcs it lost.  A word is read symbol by symbol through a table of
+transitions, (row, symbol) -> row.  A row is a set of places in the automaton (a state and how
+much of a token's spelling has been read behind it) and the last token of the only path
+that spells what has been read.  So each symbol takes one look-up, there is no search, and the
+tokens are the last tokens of the rows passed, from the end backwards.  Rows are compiled from
+the automaton when first entered, as all of them would not fit; the table is bounded in bytes, and
+at its bound it is emptied and compiled anew.  Every distinct word goes through the table,
+tokens of the vocabulary too; what a word gave is kept for its repetitions, bounded in bytes as
+well.  Decoding emits the labels of the arcs named by the ids.
 
 Null and empty texts have no tokens.  Special tokens in a text are found before anything else,
-as the library does.  Texts of any length are worked through word by word.
+as the library does.  Texts of any length are worked through word by word.  Repeated rows give
+equal rows; an empty table gives an empty result.  Columns but doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -29,9 +35,9 @@ from pyspark.sql import DataFrame
 
 from .common import map_rows, prepare
 
-#: Entries of the arc table and of the word table at most; a full arc table starts
-#: anew, a full word table becomes the older of two.
-ARCS, WORDS = 400_000, 80_000
+#: Bytes of the tables of transitions, of arcs and of words at most, by an estimate that errs on the
+#: high side; a full word table becomes the older of two.
+TABLE_BYTES, ARC_BYTES, WORD_BYTES = 96 << 20, 32 << 20, 48 << 20
 #: Texts of these characters only are normalised and split by Python's own functions: below
 #: U+0180 every character is in normal form C, and its class is the same in every Unicode version.
 PLAIN_END = 0x180
@@ -44,9 +50,10 @@ def default_file() -> str:
 
 
 class Automaton:
-    """States are numbers.  `to[t]` is where arcs labelled with token t lead."""
+    """States are numbers.  `to[t]` is where arcs labelled with token t lead.  `end` marks the last
+    symbol of a word in labels."""
 
-    def __init__(self, base: list[str], merges: list[tuple[str, str]]) -> None:
+    def __init__(self, base: list[str], merges: list[tuple[str, str]], end: str = "") -> None:
         self.labels = list(base)
         at = {s: i for i, s in enumerate(base)}
         self.parts: list[tuple[int, int] | None] = [None] * len(base)  # u, v of a merged token
@@ -54,7 +61,6 @@ class Automaton:
         self.to = [0] * len(base)
         self.parent, self.copied, self.lost = [-1], [0], [{}]
         users = [len(base) + 1]  # arcs that lead to a state; the start state is in use anyway
-        self.arcs: dict[int, bool] = {}
         for time, (a, b) in enumerate(merges, 1):
             u, v = at.get(a), at.get(b)
             if u is None or v is None or not self._has(self.to[u], v, time):
@@ -70,9 +76,36 @@ class Automaton:
             at[a + b] = w
             self.labels.append(a + b), self.parts.append((u, v)), self.born.append(time), self.to.append(past)
             users[past] += 1
-        self.token = at
         self.time = len(merges) + 1
-        self.prefix = {s[:k]: -1 for s in at for k in range(1, len(s) + 1)} | at  # token number, or -1 for a mere prefix
+        self.arcs: dict[int, bool] = {}
+        self._spell(end)
+        self._empty()
+
+    def _spell(self, end: str) -> None:
+        """Tree of the spellings of all tokens.  A symbol is a number, even within a word and odd at its end."""
+        self.symbols: dict[str, int] = {}
+        self.length, self.child, self.token, self.inner = [], {}, [-1], [False]
+        for t, label in enumerate(self.labels):
+            final = bool(end) and label.endswith(end)
+            chars, node = label[: len(label) - len(end)] if final else label, 0
+            self.length.append(len(chars))
+            for k, c in enumerate(chars):
+                key = node << 16 | 2 * self.symbols.setdefault(c, len(self.symbols)) | (final and k == len(chars) - 1)
+                self.inner[node] = True
+                if key not in self.child:
+                    self.child[key] = len(self.token)
+                    self.token.append(-1), self.inner.append(False)
+                node = self.child[key]
+            if node:
+                self.token[node] = t
+        self.ends = bool(end)
+
+    def _empty(self) -> None:
+        self.table: dict[int, int] = {}
+        self.rows: list[tuple[tuple[int, int], ...]] = [((0, 0),)]
+        self.last = [-1]
+        self.row_of: dict[tuple, int] = {}
+        self.size = 0
 
     def _has(self, state: int, token: int, time: int) -> bool:
         """Whether `state` has the arc `token` once the merges up to this time are compiled."""
@@ -88,53 +121,62 @@ class Automaton:
                 time, state = self.copied[state], self.parent[state]
 
     def has(self, state: int, token: int) -> bool:
+        """Whether the finished `state` has the arc, from the table of arcs."""
         key = state << 24 | token
         found = self.arcs.get(key)
         if found is None:
-            if len(self.arcs) >= ARCS:
+            if len(self.arcs) * 110 > ARC_BYTES:
                 self.arcs.clear()
             found = self.arcs[key] = self._has(state, token, self.time)
         return found
 
-    def encode(self, word: str, end: str) -> list[int]:
-        """Labels' numbers on the only path that spells `word`, whose last symbol carries `end`.
-        Every prefix of it has one path too, so a place where the automaton gets stuck is never
-        tried again; longer arcs come first, as they mostly are the right ones."""
-        n, get, has = len(word), self.prefix.get, self.has
-        whole = get(word + end, -1)
-        if whole >= 0:
-            return [whole]
-        path: list[int] = []
-        left: list[tuple[int, int, list[tuple[int, int]]]] = []  # place, state, arcs still to try
-        at, state, stuck = 0, 0, set()
-        while True:
-            arcs = []
-            for j in range(at + 1, n + 1):
-                t = get(word[at:j] if j < n else word[at:] + end)
-                if t is None:
-                    break
-                if t >= 0:
-                    arcs.append((j, t))
-            left.append((at, state, arcs))
-            while left:
-                at, state, arcs = left[-1]
-                while arcs:
-                    j, t = arcs.pop()
-                    if j not in stuck and has(state, t):
-                        path.append(t)
-                        if j == n:
-                            return path
-                        at, state = j, self.to[t]
-                        break
-                else:
-                    stuck.add(at)
-                    left.pop()
-                    if path:
-                        path.pop()
-                    continue
-                break
-            else:
-                raise ValueError(f"no path spells {word!r}")
+    def _compile(self, row: int, symbol: int) -> int:
+        """Enter a transition in the table: move all places of the row by the symbol."""
+        places, last = [], -1
+        for state, node in self.rows[row]:
+            node = self.child.get(node << 16 | symbol, -1)
+            if node >= 0:
+                t = self.token[node]
+                if t >= 0 and last < 0 and self.has(state, t):
+                    last = t  # the only path: no later place gives another
+                if self.inner[node]:
+                    places.append((state, node))
+        if last < 0:
+            raise ValueError("no path spells this word")
+        if not symbol & 1:
+            places.append((self.to[last], 0))
+        key = (last, *places)
+        found = self.row_of.get(key)
+        if found is None:
+            found = self.row_of[key] = len(self.rows)
+            self.rows.append(tuple(places)), self.last.append(last)
+            self.size += 250 + 130 * len(places)
+        self.table[row << 16 | symbol] = found
+        self.size += 160
+        return found
+
+    def spell(self, word: str) -> list[int]:
+        """The symbols of a word."""
+        s = [2 * self.symbols[c] for c in word]
+        s[-1] += self.ends
+        return s
+
+    def encode(self, word: str) -> list[int]:
+        """Labels' numbers on the only path that spells `word`, which is not empty."""
+        if self.size > TABLE_BYTES:
+            self._empty()
+        row, passed, get = 0, [], self.table.get
+        for symbol in self.spell(word):
+            to = get(row << 16 | symbol)
+            row = self._compile(row, symbol) if to is None else to
+            passed.append(row)
+        out, at, last, length = [], len(passed), self.last, self.length
+        while at:
+            t = last[passed[at - 1]]
+            out.append(t)
+            at -= length[t]
+        return out[::-1]
+
 
 class Bpe:
     """A tokenizer file: normalise, split, encode by automaton; decode by labels."""
@@ -148,7 +190,7 @@ class Bpe:
         self.end = model["end_of_word_suffix"] or ""
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         made = {a + b for a, b in merges}
-        self.auto = Automaton([s for s in model["vocab"] if s not in made], merges)
+        self.auto = Automaton([s for s in model["vocab"] if s not in made], merges, self.end)
         self.ids = [model["vocab"][s] for s in self.auto.labels]
         self.library = Tokenizer.from_file(path)
         self.strings = {i: s for s, i in model["vocab"].items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
@@ -163,6 +205,7 @@ class Bpe:
         self.split = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{digits}]|[^{white}{letters}{digits}]+").findall
         self.known: dict[str, tuple[int, str, str]] = {}
         self.before: dict[str, tuple[int, str, str]] = {}
+        self.known_size = 0
 
     def pieces(self, text: str) -> list[str]:
         """Normalised, pre-split words of a text without special tokens, in plain characters."""
@@ -177,11 +220,15 @@ class Bpe:
         found = self.before.get(word)
         if found is None:
             spelt = "".join([self.bytes[b] for b in word.encode("utf-8", "surrogatepass")])
-            ids = [self.ids[t] for t in self.auto.encode(spelt, self.end)]
+            ids = [self.ids[t] for t in self.auto.encode(spelt)]
             found = (len(ids), " ".join(map(str, ids)), self.decode(ids))
-        if len(self.known) >= WORDS:
-            self.before, self.known = self.known, {}
+        cost = 400 + 4 * len(word) + len(found[1]) + 4 * len(found[2])
+        if cost * 8 > WORD_BYTES:
+            return found
+        if self.known_size + cost > WORD_BYTES // 2:
+            self.before, self.known, self.known_size = self.known, {}, 0
         self.known[word] = found
+        self.known_size += cost
         return found
 
     def encode(self, text: str | None) -> list[int]:
