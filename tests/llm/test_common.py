@@ -23,12 +23,12 @@ def docs(spark, rows=DOCS):
 def runs(spark):
     labels = spark.createDataFrame([(1, 1), (6, 1), (5, 0), (None, 1), (2, None)], "doc_id long, quality int")
     graded = labels.select("doc_id", F.col("quality").alias("grade"))
-    edits = lambda d: d.withColumn("edits", F.when(F.col("doc_id") != 6, token_counts.sample_edits(F.col("doc_id"), F.col("text"))))
+    edits = lambda i, n: F.when(i != 6, token_counts.sample_edits(i, n))
     return {
         "language": lambda d: language_id.identify(d, language_id.train(d)),
         "licence": lambda d: license_scan.license_scan(license_scan.path_of(d)),
         "quality": lambda d: quality_rules.quality_rules(d, labels.where("quality = 1")),
-        "tokens": lambda d: token_counts.with_edits(edits(d)),
+        "tokens": lambda d: token_counts.with_edits(d, edits),
         "simhash": lambda d: simhash.near_duplicates(d),
         "toxicity": lambda d: toxicity.severity(d, toxicity.fit(d, graded)),
         "mixing": lambda d: mixing.mix(d),

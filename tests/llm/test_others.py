@@ -65,7 +65,7 @@ edit = st.tuples(st.integers(0, 200), st.integers(0, 40), st.text(" \n\tab'sé1.
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.text(" \n\xa0ab'st1.,é", max_size=150), st.lists(edit, max_size=6), st.sampled_from([1, 3, 10, 512]))
+@given(st.text(" \n\xa0ab'st1.,é日\u3002\x1cɐ𝒜", max_size=150), st.lists(edit, max_size=6), st.sampled_from([1, 3, 10, 512]))
 def test_counts_equal_encoding_anew(text, edits, leaf):
     old, C.LEAF = C.LEAF, leaf
     try:
@@ -78,12 +78,48 @@ def test_counts_equal_encoding_anew(text, edits, leaf):
         C.LEAF = old
 
 
-def test_only_touched_leaves_are_encoded_again():
-    text = "some words in a long text, and more. " * 2000
+@pytest.mark.parametrize(
+    "text",
+    [
+        "some words in a long text, and more. " * 2000, "line\n" * 4000 + "some words in a long text, and more. " * 1000, "日本語、テキスト。" * 5000,
+        "a1" * 20_000, "x,y;" * 9000, "日本語、" * 9000 + "plain words follow " * 900,
+    ],
+)
+def test_only_touched_leaves_are_encoded_again(text):
+    """Texts without spaces too; a tree that was kept is not encoded anew."""
     tree = C.TokenTree(text, COUNT)
+    tree = C.TokenTree.stored(tree.texts, tree.chars, tree.tokens, COUNT)
+    assert tree.total == COUNT(text) and tree.encoded == 0
+    for at in (0, 1000, len(text) // 3, len(text) // 2, len(text)):
+        tree.encoded = 0
+        text = text[:at] + "new words" + text[at + 3 :]
+        assert tree.edit(at, 3, "new words") == COUNT(text)
+        assert tree.encoded < 5 * C.LEAF
     tree.encoded = 0
-    tree.edit(len(text) // 2, 3, "new words")
-    assert tree.encoded < 5 * C.LEAF
+    text = text[:5000] + "mid words " * 3000 + text[5000:]
+    assert tree.edit(5000, 0, "mid words " * 3000) == COUNT(text) and tree.encoded < 30_000 + 5 * C.LEAF
+    assert max(map(len, tree.texts)) < 3 * C.LEAF
+
+
+def test_edits_of_frames_equal_encoding_anew(spark):
+    """Two batches, the second from the trees that the first left."""
+    r = random.Random(9)
+    texts = ["".join(r.choices("ab c.é\n1", k=r.choice([0, 3, 700, 4000]))) for _ in range(40)] + [None]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("tokens", F.lit("x"))
+    now = {i: t or "" for i, t in enumerate(texts)}
+    trees = C.plant(d)
+    for batch in range(2):
+        edits = {i: [(r.randrange(5000), r.randrange(300), "".join(r.choices("xy z", k=r.randrange(9)))) for _ in range(r.randrange(4))] for i in now}
+        e = spark.createDataFrame([(i, x or None) for i, x in edits.items()], "doc_id long, edits array<struct<at:int,cut:int,put:string>>")
+        trees = C.edit(trees.join(e, "doc_id"))
+        for i, x in edits.items():
+            for at, cut, put in x:
+                now[i] = now[i][: min(at, len(now[i]))] + put + now[i][min(at, len(now[i])) + cut :]
+        rows = trees.select("doc_id", "texts", C.root(trees).alias("n"), C.root(trees, "chars").alias("c"), "n_reencoded").collect()
+        assert len(rows) == len(now)
+        for x in rows:
+            assert ("".join(x.texts), x.n, x.c) == (now[x.doc_id], COUNT(now[x.doc_id]), len(now[x.doc_id]))
+            assert x.n_reencoded <= 3 * (4 * C.LEAF + 9)
 
 
 # -- Exact top-k ---------------------------------------------------------------------------------

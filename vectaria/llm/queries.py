@@ -34,8 +34,7 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return token_counts.with_edits(docs.withColumn("edits", token_counts.sample_edits(F.col("doc_id"), F.col("text"))))
+    return token_counts.with_edits(_table(spark, sf_dir, "documents"), token_counts.sample_edits)
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
