@@ -228,7 +228,7 @@ def test_repeated_ids_lose_no_grade(spark):
 
 def cosine(unit, template):
     idf, _, other = L.model()
-    bag = lambda t: {x: L._terms(t).count(x) * idf.get(x, other) for x in L._terms(t)}
+    bag = lambda t: {x: (1 + math.log(L._terms(t).count(x))) * idf.get(x, other) for x in L._terms(t)}
     a, b = bag(unit), bag(template)
     return sum(x * b.get(t, 0) for t, x in a.items()) / math.sqrt(sum(x * x for x in a.values()) * sum(x * x for x in b.values()))
 
@@ -248,6 +248,32 @@ def test_licences_and_inheritance(spark):
     }
 
 
+def test_no_unit_without_a_mark_reaches_the_threshold():
+    r = random.Random(6)
+    for threshold in (0.3, L.THRESHOLD):
+        marks = set(L.marks(threshold=threshold))
+        for _, template in L.TEMPLATES:
+            rest = [t for t in L._terms(template) if t not in marks]
+            for n in (1, 3, len(rest)):
+                unit = " ".join(r.sample(rest, min(n, len(rest))))
+                assert not unit or max(cosine(unit, t) for _, t in L.TEMPLATES) < threshold
+
+
+def test_whole_licences_and_shared_root(spark):
+    """Licence files wrapped at 70 columns, one at the root, which is an ancestor of every directory."""
+    import textwrap
+
+    whole = {n: t for n, t in L.TEMPLATES if len(t) > 700}
+    rows = [(i, f"LICENSE-{i}" if i == 0 else f"d{i}/LICENSE", "Some name\n\n" + textwrap.fill(t, 70)) for i, t in enumerate(whole.values())]
+    rows += [(100 + i, f"e{i}/x/y.py", "code") for i in range(300)] + [(500, None, "code"), (None, "e1/LICENSE", rows[0][2]), (None, "e1/z.py", "code")]
+    got = {(r.doc_id, r.via): r for r in L.license_scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    for i, n in enumerate(whole):
+        assert got[i, "own"].license == n and got[i, "own"].score > 0.9, n
+    for i in range(300):
+        assert (got[100 + i, "inherited"].license, got[100 + i, "inherited"].from_dir) == (list(whole)[0], "")
+    assert got[500, "none"].license is None and got[None, "inherited"].from_dir == ""
+
+
 def test_scores_equal_brute_force(spark):
     r = random.Random(5)
     words = "licensed under the MIT Apache License license version 2.0 GNU General Public of work free other words".split()

@@ -1,17 +1,21 @@
 """Licence scans: sparse TF-IDF cosine of headers and licence files to templates, then
 inheritance from the nearest ancestor directory by path joins.
 
-Only DataFrame functions.  Units of comparison are the lines of a whole text that hold a licence word,
-and all of these lines of a text together (a notice over several lines).  Term weights are tf x
-idf with idf from the template set, a fixed list of some hundred terms, so the term table is
+Only DataFrame functions.  Units of comparison are the lines of a whole text, all its marked lines
+together (a notice over several lines) and, for a licence file, the whole text.  A unit is marked
+if it holds one of the terms that `marks` derives from the templates: a unit without any of
+these can't reach the threshold with any template, so leaving it out loses nothing.  Term weights are
+(1 + ln tf) x idf with idf from the template set, a fixed list of some hundred terms, so the term table is
 broadcast.  A file with no licence of its own takes that of the nearest directory above it (or
-its own) that has a licence file; directories are resolved once each before files join them.
+its own) that has a licence file; directories are resolved once each before files join them, and an
+ancestor that many directories share, as the root is, goes to them by broadcast.
 
 Null path: the file has no directory and inherits nothing.  Null or empty text: no licence of its
 own.  Null doc_id: no licence can be ascribed to it, but it may inherit one; rows with one doc_id are
 one document.  Ties between templates: the higher cosine, then the smaller name; between licence files of
 a directory likewise.  Repeated rows: each gets the same result.  An empty table gives an
-empty result.  Columns other than doc_id, path, text are not read.
+empty result.  A very long text is split into lines and terms inside its row, of which only marked units leave it.
+Columns other than doc_id, path, text are not read.
 """
 
 from __future__ import annotations
@@ -24,28 +28,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import hot_join, written
+from .license_texts import TEMPLATES
 
-#: Licence, and the wording of a notice that points to it.
-TEMPLATES = (
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License."),
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License"),
-    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
-    ("LGPL-3.0", "This library is licensed under the GNU Lesser General Public License, version 3."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("Unlicense", "This is free and unencumbered software released into the public domain."),
-)
-MARK = r"(?i)licen[cs]e|copyright|\bCC BY\b|public domain|redistribut|hereby granted|creative commons"
 TERM = r"[^a-z0-9.]+"
 THRESHOLD = 0.6
+#: Words that are left out of the marks first.
+COMMON = "the of and to in a is it for that be this with not you or are as from by on was we an at no do our but so if may any all one its use other see work have will such can must under file".split()
 LICENSE_FILE = r"(?i)^(licen[cs]e|copying|notice)"
 
 
@@ -61,19 +49,38 @@ def model(templates: tuple[tuple[str, str], ...] = TEMPLATES) -> tuple[dict[str,
     idf = {t: math.log((1 + n) / (1 + k)) + 1 for t, k in df.items()}
     rows = []
     for k, (b, (name, _)) in enumerate(zip(bags, templates)):
-        norm = math.sqrt(sum((c * idf[t]) ** 2 for t, c in b.items()))
-        rows += [(t, k, name, c * idf[t] / norm) for t, c in sorted(b.items())]
+        weight = {t: (1 + math.log(c)) * idf[t] for t, c in sorted(b.items())}
+        norm = math.sqrt(sum(w * w for w in weight.values()))
+        rows += [(t, k, name, w / norm) for t, w in weight.items()]
     return idf, rows, math.log(1 + n) + 1
 
 
+def marks(templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD) -> list[str]:
+    """Terms of which a unit must hold one to reach the threshold.
+
+    Of each template terms are left out, the commonest words first and then by weight, as long as their squared
+    weights add up to less than the threshold's square: by the Cauchy-Schwarz inequality a unit that
+    shares only these stays below it."""
+    rows: dict[int, list[tuple[float, str]]] = {}
+    for t, k, _, w in model(templates)[1]:
+        rows.setdefault(k, []).append((w, t))
+    out = set()
+    for listed in rows.values():
+        total = 0.0
+        for w, t in sorted(listed, key=lambda x: (COMMON.index(x[1]) if x[1] in COMMON else len(COMMON), x)):
+            total += w * w
+            if total > threshold * threshold - 1e-6:
+                out.add(t)
+    return sorted(out)
+
+
 def terms(text: Column) -> Column:
     parts = F.transform(F.split(F.lower(text), TERM), lambda x: F.trim(x, F.lit(".")))
     return F.filter(parts, lambda x: x != "")
 
 
-def own_licences(files: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, license, score of the documents that state one.  Only lines with a licence word leave
-    their row."""
+def own_licences(files: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD, license_file: str = LICENSE_FILE) -> DataFrame:
+    """doc_id, license, score of the documents that state one.  Only marked units leave their row."""
     spark = files.sparkSession
     idf, weights, other = model(templates)
     table: dict[str, list[tuple[int, str, float]]] = {}
@@ -81,12 +88,17 @@ def own_licences(files: DataFrame, templates: tuple[tuple[str, str], ...] = TEMP
         table.setdefault(t, []).append((k, name, w))
     kind = "term string, idf double, posts array<struct<template int, license string, w double>>"
     lexicon = F.broadcast(spark.createDataFrame([(t, idf[t], p) for t, p in sorted(table.items())], kind))
-    marked = files.select("doc_id", "text").where(F.col("text").rlike(MARK))
-    marked = marked.select("doc_id", F.filter(F.split("text", "\n"), lambda x: x.rlike(MARK)).alias("lines"))
-    units = marked.select("doc_id", F.explode(F.array_distinct(F.concat(F.col("lines"), F.array(F.array_join("lines", "\n"))))).alias("unit"))
+    listed = marks(templates, threshold)
+    has_mark = lambda x: F.exists(terms(x), lambda t: t.isin(listed))
+    whole = F.coalesce(F.substring_index("path", "/", -1).rlike(license_file), F.lit(False)) if "path" in files.columns else F.lit(False)
+    marked = files.where("doc_id is not null and text is not null").select("doc_id", F.when(whole, F.col("text")).alias("all"), F.filter(F.split("text", "\n"), has_mark).alias("lines"))
+    # The row number is always true here; it keeps the filter from being computed beside the lines once more.
+    marked = marked.withColumn("m", F.monotonically_increasing_id()).where("size(lines) > 0 and m >= 0")
+    parts = F.concat(F.col("lines"), F.array(F.array_join("lines", "\n")), F.when(F.col("all").isNotNull(), F.array("all")).otherwise(F.array().cast("array<string>")))
+    units = marked.select("doc_id", F.explode(F.array_distinct(parts)).alias("unit"))
     tf = units.select("doc_id", F.xxhash64("unit").alias("unit"), F.explode(terms(F.col("unit"))).alias("term"))
     tf = tf.groupBy("doc_id", "unit", "term").agg(F.count(F.lit(1)).alias("tf")).join(lexicon, "term", "left")
-    w = F.col("tf") * F.coalesce("idf", F.lit(other))
+    w = (F.lit(1.0) + F.log("tf")) * F.coalesce("idf", F.lit(other))
     # One aggregate: each term gives its square to the norm once, and its products to its templates.
     none = F.array(F.struct(F.lit(-1).alias("template"), F.lit(None).cast("string").alias("license"), F.lit(0.0).alias("w")))
     parts = tf.select("doc_id", "unit", w.alias("x"), F.explode(F.concat(F.coalesce("posts", F.array().cast("array<struct<template int, license string, w double>>")), none)).alias("p"))
@@ -113,15 +125,19 @@ def ancestors(directory: Column) -> Column:
 
 def license_scan(files: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD, license_file: str = LICENSE_FILE) -> DataFrame:
     """doc_id, license, score, via (`own`, `inherited` or `none`) and from_dir for every row."""
-    own = own_licences(files, templates, threshold)
+    own = own_licences(files, templates, threshold, license_file)
     base = files.select("doc_id", "path", parent(F.col("path")).alias("dir"), F.substring_index("path", "/", -1).alias("name"))
-    stated = written(base.join(own.withColumn("via", F.lit("own")), "doc_id", "left"), "stated")
+    # Rows without id match nothing; they stay out of the join, where they would meet in one task.
+    named = base.where("doc_id is not null").join(own.withColumn("via", F.lit("own")), "doc_id", "left")
+    blank = [F.lit(None).cast(named.schema[c].dataType).alias(c) for c in ("license", "score", "via")]
+    stated = written(named.unionByName(base.where("doc_id is null").select("*", *blank)), "stated")
     dirs = stated.where(F.col("via").isNotNull() & F.col("name").rlike(license_file) & F.col("dir").isNotNull())
     dirs = dirs.groupBy("dir").agg(F.min(F.struct((-F.col("score")).alias("m"), "license")).alias("b")).select(F.col("dir").alias("from_dir"), F.col("b.license").alias("l"), (-F.col("b.m")).alias("s"))
     # Every directory once, with its number of files, however many files it has.
     each = base.where("dir is not null").groupBy("dir").agg(F.count(F.lit(1)).alias("__n"))
     up = each.select("dir", "__n", F.posexplode(ancestors(F.col("dir"))).alias("steps", "from_dir"))
-    near = up.join(dirs, "from_dir").groupBy("dir", "__n").agg(F.min(F.struct("steps", "from_dir", "l", "s")).alias("d"))
+    shared = dirs.join(up.groupBy("from_dir").agg(F.count(F.lit(1)).alias("__n")), "from_dir")
+    near = hot_join(up.withColumnRenamed("__n", "files"), written(shared, "licensed"), "from_dir").withColumnRenamed("files", "__n").groupBy("dir", "__n").agg(F.min(F.struct("steps", "from_dir", "l", "s")).alias("d"))
     resolved = each.join(near.drop("__n"), "dir", "left").select("dir", "__n", "d")
     inside = hot_join(stated.where("dir is not null"), resolved, "dir")
     outside = stated.where("dir is null").select(*stated.columns, F.lit(None).cast(inside.schema["d"].dataType).alias("d"))
@@ -137,8 +153,12 @@ def license_scan(files: DataFrame, templates: tuple[tuple[str, str], ...] = TEMP
 
 
 def path_of(docs: DataFrame) -> DataFrame:
-    """doc_id, text and a path for a table that has none: source/lang/name, short texts standing
-    for licence files."""
+    """doc_id, text and a path for a table that has none.  Files stand one to three directories below
+    source/lang; short texts stand for licence files and lie at any level, the root included."""
     part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("none"))
-    name = F.when(F.length(F.coalesce("text", F.lit(""))) <= 400, F.lit("LICENSE-")).otherwise(F.lit("file-"))
-    return docs.select("doc_id", "text", F.concat(part("source"), F.lit("/"), part("lang"), F.lit("/"), name, part("doc_id")).alias("path"))
+    small = F.length(F.coalesce("text", F.lit(""))) <= 400
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    levels = F.array(part("source"), part("lang"), F.concat(F.lit("a"), h % 5), F.concat(F.lit("b"), h % 7), F.concat(F.lit("c"), h % 11))
+    kept = F.slice(levels, F.lit(1), F.when(small, (h % 997 + 4) % 6).otherwise(h % 3 + 3).cast("int"))
+    name = F.concat(F.when(small, F.lit("LICENSE-")).otherwise(F.lit("file-")), part("doc_id"))
+    return docs.select("doc_id", "text", F.array_join(F.concat(kept, F.array(name)), "/").alias("path"))
