@@ -1,16 +1,22 @@
-"""Near copies by word shingles: every pair of texts whose sets of `shingle`-word shingles have a
-Jaccard similarity of `similarity` or more is linked, and no other.
-
-The search is complete.  Under any order of all shingles, two such sets share one of the first
-n - ceil(similarity * n) + 1 shingles of each (n: its size), so a text is filed under those.  The
-order is by hash, but shingles that a sample of the texts has often come last, which keeps files
-small; the sample moves work only, never a result.  Inside a file, pairs that sizes or positions
-rule out are dropped; then those that share too few of the first shingles, as what follows these
-can't make up for it; the others are compared exactly, by their whole sets of 64-bit hashes.
+"""Near copies by word shingles: the wide form of `simhash`, for near-duplicates that lie further
+apart than a few bits.  Texts whose sets of `shingle`-word shingles have a Jaccard similarity of
+`similarity` or more are linked, and no others; the result is their connected components.
+
+First the fingerprints of the sets are compared bit-sliced as in `simhash`, and each text with the one
+it shares most files with (below): at most a few pairs a text, checked exactly by the whole
+sets of 64-bit hashes.  That joins most groups of many copies, and pairs within a component need
+no further look.  Then a complete search adds every link between different components.  Under any order of all
+shingles, two such sets share one of the first n - ceil(similarity * n) + 1 shingles of each (n: its
+size), so a text is filed under those.  The order is by hash, but shingles that a sample of the texts
+has often come last, which keeps files small; the sample moves work only, never a result.  Inside a
+file, pairs that sizes or positions rule out are dropped; then those that share too few of the first
+shingles, as what follows these can't make up for it; the others are checked exactly.
 
 Texts with equal sets collapse to one before they are compared.  Words are as in `simhash`; a text of
 fewer words than a shingle has one shingle, null and empty texts share the empty set.  A text's set
-is held whole in one task, 8 bytes a word; there is no cap on texts, files or pairs.
+is held whole in one task, 8 bytes a word; of a file a task holds the texts of like size.  There is no
+cap on texts, files or pairs.  Null ids are carried through; repeated rows get the same root; an empty table
+gives an empty result; columns but doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -25,6 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import map_rows, prepare, written
 from .components import connected_components
+from .simhash import links as fingerprint_links
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -32,8 +39,10 @@ SIMILARITY = 0.8
 SAMPLE, COMMON = 8, 1_000_000
 #: Occurrences in the sample from which a shingle can be common.
 LEAST = 8
-#: Pairs handed on at a time.
-PAIRS = 1 << 20
+#: Bits by which fingerprints of the first comparison differ at most.
+RADIUS = 2
+#: Shingles whose bits are counted at a time.
+PIECE = 1 << 16
 
 
 def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -58,6 +67,14 @@ def digest(s: np.ndarray) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def fingerprint(s: np.ndarray) -> int:
+    """SimHash of a set of hashes, as a signed long: a bit is set if over half of them have it."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(s), PIECE):
+        counts += np.unpackbits(s[at : at + PIECE].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(counts * 2 > len(s), bitorder="little").view("<i8")[0])
+
+
 def least_overlap(a: np.ndarray | int, b: np.ndarray | int, similarity: float) -> np.ndarray:
     """Shingles that sets of a and b must share at least; the margin is for rounding."""
     return np.ceil(similarity / (1 + similarity) * (a + b) - 1e-6)
@@ -78,13 +95,14 @@ def prefix(s: np.ndarray, common: np.ndarray, similarity: float) -> np.ndarray:
 
 
 def sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, text_hash and the digest of its set for every row."""
+    """doc_id, text_hash, and digest and fingerprint of its set for every row."""
 
     def run(batches: Iterable[dict]) -> Iterator[dict]:
         for b in batches:
-            yield {"doc_id": b["doc_id"], "text_hash": b["text_hash"], "digest": [digest(shingles(t, shingle)) for t in b["text"]]}
+            s = [shingles(t, shingle) for t in b["text"]]
+            yield {"doc_id": b["doc_id"], "text_hash": b["text_hash"], "digest": [digest(x) for x in s], "fp": [fingerprint(x) for x in s]}
 
-    return map_rows(docs, run, f"doc_id {dict(docs.dtypes)['doc_id']}, text_hash long, digest long")
+    return map_rows(docs, run, f"doc_id {dict(docs.dtypes)['doc_id']}, text_hash long, digest long, fp long")
 
 
 def common_shingles(docs: DataFrame, shingle: int) -> np.ndarray:
@@ -101,19 +119,22 @@ def common_shingles(docs: DataFrame, shingle: int) -> np.ndarray:
     return np.sort(rows.astype(np.int64).view(np.uint64))
 
 
-def candidates(docs: DataFrame, shingle: int, similarity: float, common: np.ndarray) -> DataFrame:
-    """(a, b) digests, a < b, of all pairs of sets that may be similar enough.
+FILED = "key long, digest long, size int, place int"
 
-    Whatever two sets share lies among the first shingles of both, or behind those of one: so they share
-    at least `need` of the first ones, the least overlap less the longer remainder."""
+
+def files(docs: DataFrame, shingle: int, similarity: float, common: np.ndarray) -> DataFrame:
+    """The rows (key, digest, size, place) of all files with two sets or more, and the digest of each file's
+    largest set as `pivot`."""
 
     def file(batches: Iterable[dict]) -> Iterator[dict]:
-        seen: set[int] = set()  # a text that a task has often is filed once
+        seen: set[int] = set()  # a text that a task has often is filed once; emptied when large, as that costs rows only
         for b in batches:
             keys, own, size, place = [np.zeros(0, np.uint64)], [], [], []
             for t in b["text"]:
                 s = shingles(t, shingle)
                 if len(s) and (d := digest(s)) not in seen:
+                    if len(seen) > 200_000:
+                        seen.clear()
                     seen.add(d)
                     keys.append(prefix(s, common, similarity))
                     n = len(keys[-1])
@@ -123,40 +144,87 @@ def candidates(docs: DataFrame, shingle: int, similarity: float, common: np.ndar
             none = [np.zeros(0, np.int64)]
             yield {"key": np.concatenate(keys).view(np.int64)} | {k: np.concatenate(v or none) for k, v in (("digest", own), ("size", size), ("place", place))}
 
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = np.zeros((0, 4), np.int64)  # the open file's largest set
+        last, waits = None, False  # the row before; whether `first` has not been handed on yet
+        for b in batches:
+            r = np.array([c.to_numpy() for c in b.columns], np.int64).T
+            if not len(r):
+                continue
+            before = r[:-1] if last is None else np.concatenate([last, r[:-1]])
+            same = (r[len(r) - len(before) :, :2] == before[:, :2]).all(1)
+            last = r[-1:]
+            r = r[~np.r_[np.zeros(len(r) - len(before), bool), same]]  # copies from other tasks
+            rows = np.concatenate([first, r])
+            if not len(rows):
+                continue
+            start = np.r_[True, rows[1:, 0] != rows[:-1, 0]]
+            at = np.cumsum(start) - 1
+            begins = np.flatnonzero(start)
+            n = np.bincount(at)
+            give = n[at] > 1
+            if len(first):
+                give[0] &= waits
+            out = np.column_stack([rows, rows[begins[at], 1]])[give]
+            waits = bool(n[-1] == 1 and (waits or len(n) > 1 or not len(first)))
+            first = rows[begins[-1] :][:1]
+            if len(out):
+                yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1]), pa.array(out[:, 2].astype(np.int32)), pa.array(out[:, 3].astype(np.int32)), pa.array(out[:, 4])], ["key", "digest", "size", "place", "pivot"])
+
+    filed = map_rows(docs.select("text"), file, FILED)
+    return filed.repartition("key").sortWithinPartitions("key", F.desc("size"), "digest").mapInArrow(shared, FILED + ", pivot long")
+
+
+def first_pairs(prints: DataFrame, filed: DataFrame) -> DataFrame:
+    """(a, b) digests: sets whose fingerprints are close or equal, and each set with the pivot that it meets most
+    often.  A forest of the fingerprints and one pair a set."""
+    one = written(prints.groupBy("fp").agg(F.min("digest").alias("low")), "prints")
+    equal = prints.select("fp", "digest").distinct().join(one, "fp").where("digest <> low").select(F.col("digest").alias("a"), F.col("low").alias("b"))
+    close = fingerprint_links(one.select("fp"), RADIUS)
+    close = close.join(one.select(F.col("fp").alias("a"), F.col("low").alias("x")), "a").join(one.select(F.col("fp").alias("b"), F.col("low").alias("y")), "b").select("x", "y")
+    met = filed.where("digest <> pivot").groupBy("digest", "pivot").agg(F.count(F.lit(1)).alias("n"))
+    most = met.groupBy("digest").agg(F.max(F.struct("n", "pivot")).alias("m")).select("digest", "m.pivot")
+    pairs = equal.union(close).union(most).toDF("a", "b")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def other_pairs(filed: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) digests, a < b, of all pairs of sets of different components that may be similar enough.
+
+    Whatever two sets share lies among the first shingles of both, or behind those of one: so they share
+    at least `need` of the first ones, the least overlap less the longer remainder."""
+
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((0, 4), np.int64)
+        held = np.zeros((0, 5), np.int64)
         for b in batches:
-            held = np.concatenate([held, np.array([c.to_numpy() for c in b.columns], np.int64).T])
-            last = np.searchsorted(held[:, 0], held[-1, 0]) if len(held) else 0  # its file may go on
-            yield from of(held[:last])
-            held = held[last:]
-        yield from of(held)
-
-    def of(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-        cut = np.flatnonzero(np.diff(rows[:, 0])) + 1
-        starts, ends = np.r_[0, cut], np.r_[cut, len(rows)]
-        out, n = [], 0
-        for lo, hi in zip(starts[ends - starts > 1], ends[ends - starts > 1]):
-            g = rows[lo:hi]
-            g = g[np.r_[True, np.diff(g[:, 1]) != 0]]  # sorted by digest: copies of other tasks
-            for i in range(len(g) - 1):
-                rest, own = g[i + 1 :], g[i]
-                at_most = np.minimum(rest[:, 2] - rest[:, 3], own[2] - own[3]) + np.minimum(rest[:, 3], own[3])
-                least = least_overlap(rest[:, 2], own[2], similarity)
-                left = np.maximum(rest[:, 2] - filed_under(rest[:, 2], similarity), own[2] - filed_under(own[2], similarity))
-                ok = np.minimum(at_most, np.minimum(rest[:, 2], own[2])) >= least
-                hit = rest[ok, 1]
-                out.append(np.array([np.full(len(hit), own[1]), hit, (least - left)[ok].astype(np.int64)]))
-                n += len(hit)
-                if n >= PAIRS:
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.concatenate(out, axis=1)], ["a", "b", "need"])
-                    out, n = [], 0
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.concatenate(out, axis=1)], ["a", "b", "need"])
-
-    filed = map_rows(docs.select("text"), file, "key long, digest long, size int, place int")
-    filed = filed.repartition("key").sortWithinPartitions("key", "digest")
-    shared = filed.mapInArrow(pairs, "a long, b long, need long").groupBy("a", "b", "need").agg(F.count(F.lit(1)).alias("n"))
+            rows = np.concatenate([held, np.array([c.to_numpy() for c in b.columns], np.int64).T])
+            yield from of(rows, len(held))
+            if len(rows):  # of the open file, the sets that are not too large for those to come
+                key, _, size = rows[-1, :3]
+                held = rows[(rows[:, 0] == key) & (rows[:, 2] * similarity <= size + 1e-6)]
+
+    def of(rows: np.ndarray, fresh: int) -> Iterator[pa.RecordBatch]:
+        key, own, size, place, comp = rows.T
+        behind = size - filed_under(size, similarity)
+        i, k = np.arange(fresh, len(rows)), 1
+        while True:  # each row with the one k places before it; sizes fall within a file
+            i = i[i >= k]
+            j = i - k
+            i = i[(key[j] == key[i]) & (size[j] * similarity <= size[i] + 1e-6)]
+            if not len(i):
+                return
+            j = i - k
+            least = least_overlap(size[i], size[j], similarity)
+            at_most = np.minimum(size[i] - place[i], size[j] - place[j]) + np.minimum(place[i], place[j])
+            ok = (comp[i] != comp[j]) & (np.minimum(at_most, size[i]) >= least)
+            if ok.any():
+                a, b, need = own[i][ok], own[j][ok], (least - np.maximum(behind[i], behind[j]))[ok].astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(need)], ["a", "b", "need"])
+            k += 1
+
+    known = filed.join(roots.select(F.col("node").alias("digest"), "root"), "digest", "left").select("key", "digest", "size", "place", F.coalesce("root", "digest").alias("comp"))
+    known = known.repartition("key").sortWithinPartitions("key", F.desc("size"), "digest")
+    shared = known.mapInArrow(pairs, "a long, b long, need long").groupBy("a", "b", "need").agg(F.count(F.lit(1)).alias("n"))
     return shared.where("n >= need").select("a", "b")
 
 
@@ -183,6 +251,9 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIM
     prepare(docs.sparkSession)
     d = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     prints = written(sets(d, shingle), "sets-of-rows")
-    found = written(candidates(d, shingle, similarity, common_shingles(d, shingle)), "candidates")
-    roots = connected_components(links(d, found, prints, shingle, similarity)).withColumnRenamed("node", "digest")
+    filed = written(files(d, shingle, similarity, common_shingles(d, shingle)), "files")
+    first = written(first_pairs(prints.select("digest", "fp"), filed), "candidates")
+    linked = written(links(d, first, prints, shingle, similarity), "links")
+    rest = written(other_pairs(filed, connected_components(linked), similarity), "candidates")
+    roots = connected_components(linked.union(links(d, rest, prints, shingle, similarity))).withColumnRenamed("node", "digest")
     return prints.join(roots, "digest", "left").select("doc_id", "text_hash", F.coalesce("root", "digest").alias("root"))
