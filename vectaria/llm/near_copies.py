@@ -123,8 +123,8 @@ FILED = "key long, digest long, size int, place int"
 
 
 def files(docs: DataFrame, shingle: int, similarity: float, common: np.ndarray) -> DataFrame:
-    """The rows (key, digest, size, place) of all files with two sets or more, and the digest of each file's
-    largest set as `pivot`."""
+    """The rows (key, digest, size, place) of all files with two sets or more, and digest and size of each
+    file's largest set as `pivot` and `most`."""
 
     def file(batches: Iterable[dict]) -> Iterator[dict]:
         seen: set[int] = set()  # a text that a task has often is filed once; emptied when large, as that costs rows only
@@ -165,25 +165,30 @@ def files(docs: DataFrame, shingle: int, similarity: float, common: np.ndarray)
             give = n[at] > 1
             if len(first):
                 give[0] &= waits
-            out = np.column_stack([rows, rows[begins[at], 1]])[give]
+            out = np.column_stack([rows, rows[begins[at], 1:3]])[give]
             waits = bool(n[-1] == 1 and (waits or len(n) > 1 or not len(first)))
             first = rows[begins[-1] :][:1]
             if len(out):
-                yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1]), pa.array(out[:, 2].astype(np.int32)), pa.array(out[:, 3].astype(np.int32)), pa.array(out[:, 4])], ["key", "digest", "size", "place", "pivot"])
+                kinds = (np.int64, np.int64, np.int32, np.int32, np.int64, np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(out[:, k].astype(t)) for k, t in enumerate(kinds)], ["key", "digest", "size", "place", "pivot", "most"])
 
     filed = map_rows(docs.select("text"), file, FILED)
-    return filed.repartition("key").sortWithinPartitions("key", F.desc("size"), "digest").mapInArrow(shared, FILED + ", pivot long")
+    return filed.repartition("key").sortWithinPartitions("key", F.desc("size"), "digest").mapInArrow(shared, FILED + ", pivot long, most int")
 
 
-def first_pairs(prints: DataFrame, filed: DataFrame) -> DataFrame:
+def first_pairs(prints: DataFrame, filed: DataFrame, similarity: float) -> DataFrame:
     """(a, b) digests: sets whose fingerprints are close or equal, and each set with the pivot that it meets most
-    often.  A forest of the fingerprints and one pair a set."""
+    often, if that is of like size and met in half as many files as a near copy shares.  A forest of
+    the fingerprints and at most one pair a set."""
     one = written(prints.groupBy("fp").agg(F.min("digest").alias("low")), "prints")
     equal = prints.select("fp", "digest").distinct().join(one, "fp").where("digest <> low").select(F.col("digest").alias("a"), F.col("low").alias("b"))
     close = fingerprint_links(one.select("fp"), RADIUS)
     close = close.join(one.select(F.col("fp").alias("a"), F.col("low").alias("x")), "a").join(one.select(F.col("fp").alias("b"), F.col("low").alias("y")), "b").select("x", "y")
-    met = filed.where("digest <> pivot").groupBy("digest", "pivot").agg(F.count(F.lit(1)).alias("n"))
-    most = met.groupBy("digest").agg(F.max(F.struct("n", "pivot")).alias("m")).select("digest", "m.pivot")
+    met = filed.where((F.col("digest") != F.col("pivot")) & (F.col("size") >= F.col("most") * F.lit(similarity))).groupBy("digest", "pivot", "size", "most").agg(F.count(F.lit(1)).alias("n"))
+    # As `least_overlap` and `filed_under`: what may lie behind the first shingles of both.
+    behind = lambda n: F.ceil(F.col(n) * F.lit(similarity) - F.lit(1e-6)) - 1
+    need = F.ceil((F.col("size") + F.col("most")) * F.lit(similarity / (1 + similarity)) - F.lit(1e-6)) - F.greatest(behind("size"), behind("most"))
+    most = met.where(F.col("n") * 2 >= need).groupBy("digest").agg(F.max(F.struct("n", "pivot")).alias("m")).select("digest", "m.pivot")
     pairs = equal.union(close).union(most).toDF("a", "b")
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
@@ -252,7 +257,7 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIM
     d = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     prints = written(sets(d, shingle), "sets-of-rows")
     filed = written(files(d, shingle, similarity, common_shingles(d, shingle)), "files")
-    first = written(first_pairs(prints.select("digest", "fp"), filed), "candidates")
+    first = written(first_pairs(prints.select("digest", "fp"), filed, similarity), "candidates")
     linked = written(links(d, first, prints, shingle, similarity), "links")
     rest = written(other_pairs(filed, connected_components(linked), similarity), "candidates")
     roots = connected_components(linked.union(links(d, rest, prints, shingle, similarity))).withColumnRenamed("node", "digest")
