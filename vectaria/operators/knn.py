@@ -74,7 +74,7 @@ def batch_top_k(
 
 
 def hydrate(hits: DataFrame, points: DataFrame, columns: Sequence[str], k: int, id_column: str = "id") -> DataFrame:
-    """Wide columns only for the winners.  The hits, k rows at most, are broadcast against the points
-    as long as k is small."""
+    """Wide columns only for the winners, which must be among the points.  The hits, k rows at most, are
+    broadcast against the points as long as k is small, so the points are scanned and not moved."""
     wide = points.select(F.col(id_column).alias("id"), *columns)
-    return wide.join(F.broadcast(hits) if k <= BROADCAST_HITS else hits, "id", "right")
+    return wide.join(F.broadcast(hits) if k <= BROADCAST_HITS else hits, "id")

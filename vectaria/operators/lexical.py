@@ -7,6 +7,8 @@ in every plan."""
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +34,11 @@ def term_frequencies(docs: DataFrame, id_column: str = "id", document: str = "do
     return t.groupBy("term", "id", "len").agg(F.count(F.lit(1)).alias("tf")).select("term", "id", "tf", "len")
 
 
+def document_lengths(docs: DataFrame, id_column: str = "id", document: str = "document") -> DataFrame:
+    """(id, len) of the rows that have a document."""
+    return docs.where(F.col(document).isNotNull()).select(F.col(id_column).alias("id"), F.size(T.tokens(F.col(document))).alias("len"))
+
+
 def document_frequencies(postings: DataFrame) -> DataFrame:
     return postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
@@ -43,7 +50,9 @@ def corpus_stats(docs: DataFrame, document: str = "document") -> DataFrame:
 
 
 def _finish(scored: DataFrame, k: int) -> DataFrame:
-    return best(scored.where("score > 0"), k)
+    """The number is always true; it keeps the filter from being pushed below the score, where it would
+    tokenise a text once for each mention."""
+    return best(scored.withColumn("m", F.monotonically_increasing_id()).where("score > 0 and m >= 0").drop("m"), k)
 
 
 def _score(terms: list[str], df: dict[str, int], stats: CorpusStats, tf: dict[str, Column], length: Column) -> Column:
@@ -75,7 +84,11 @@ def search_text(docs: DataFrame, query: str, k: int, where: Column | None = None
     ).first()
     stats = CorpusStats(row.n, row.total)
     df = {w: row[f"df{i}"] for i, w in enumerate(own)}
-    c = counted(d if where is None else d.where(where))
+    # A text that holds no query term as a mere piece of it has score 0; looking for that is far cheaper
+    # than tokenising.
+    low = F.lower(F.translate(F.col(document), "Σ", "σ"))
+    may = reduce(or_, [low.contains(w) for w in own if df.get(w)], F.lit(False))
+    c = counted((d if where is None else d.where(where)).where(may))
     tf = {w: F.col(f"tf{i}") for i, w in enumerate(own)}
     return _finish(c.select("id", _score(terms, df, stats, tf, F.col("len")).alias("score")), k)
 

@@ -40,7 +40,7 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-# -- the tables ----------------------------------------------------------------------------------
+# -- the tables
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -117,7 +117,7 @@ def shown(hits: DataFrame, digits: int | None = None) -> DataFrame:
     return by_rank(hits).select("rank", "id", (s if digits is None else F.round(s, digits)).alias("score"))
 
 
-# -- exact neighbours ----------------------------------------------------------------------------
+# -- exact neighbours
 
 
 def _knn(metric: Metric, k: int = 10) -> Query:
@@ -156,7 +156,7 @@ def knn_batch_queries(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.col("query_id").cast("long").alias("query_id"), "rank", "id", F.col("score").cast("double").alias("score"))
 
 
-# -- payload filters -----------------------------------------------------------------------------
+# -- payload filters
 
 NAN = float("nan")
 #: name -> (filter, SQL that is never null)
@@ -213,7 +213,7 @@ def knn_filtered_hydrated(spark: SparkSession, d: str) -> DataFrame:
     return out.select("rank", "id", "score", F.col("payload")["lang"]["s"]["t"].alias("lang"), F.col("payload")["n_chars"]["s"]["i"].alias("n_chars"))
 
 
-# -- lexical -------------------------------------------------------------------------------------
+# -- lexical
 
 _TOKENS = r"list_filter(list_transform(regexp_split_to_array({t}, '[^\p{{L}}\p{{N}}]+'), lambda x: lower(x)), lambda x: x <> '')"
 
@@ -274,9 +274,9 @@ def bm25_repeated_term(spark: SparkSession, d: str) -> DataFrame:
     return shown(lexical.search_text(documents(spark, d), TEXT, 25), 9)
 
 
-@register("bm25_filtered", f"with {_DOCS} {_rounded(bm25_sql(TEXT, where=chr(39).join(['lang = ', 'fr', ''])))}")
+@register("bm25_filtered", f"with {_DOCS} {_rounded(bm25_sql(TEXT, where=chr(39).join(['lang = ', 'en', ''])))}")
 def bm25_filtered(spark: SparkSession, d: str) -> DataFrame:
-    return shown(lexical.search_text(documents(spark, d), TEXT, 10, F.col("lang") == "fr"), 9)
+    return shown(lexical.search_text(documents(spark, d), TEXT, 10, F.col("lang") == "en"), 9)
 
 
 @register("bm25_postings", f"with {_DOCS} {_rounded(bm25_sql(TEXT))}")
@@ -286,7 +286,7 @@ def bm25_postings(spark: SparkSession, d: str) -> DataFrame:
     return shown(lexical.search_postings(lexical.term_frequencies(docs), lexical.CorpusStats(row.n, row.total), TEXT, 10), 9)
 
 
-# -- fusion and hybrid ---------------------------------------------------------------------------
+# -- fusion and hybrid
 
 _PDOCS = f"pdocs as (select *, {_TOKENS.format(t='document')} as t from p where document is not null)"
 
@@ -334,7 +334,7 @@ def hybrid_lexical_only(spark: SparkSession, d: str) -> DataFrame:
     return _hybrid(spark, d, HybridQuery(10, None, TEXT))
 
 
-# -- collections ---------------------------------------------------------------------------------
+# -- collections
 
 
 def _collection(spark: SparkSession, p: DataFrame | None = None, **meta: Any) -> Collection:
@@ -439,7 +439,26 @@ def collection_hybrid(spark: SparkSession, d: str) -> DataFrame:
     return shown(c.search_hybrid(q), 9)
 
 
-# -- approximate neighbours ----------------------------------------------------------------------
+def _text_history(spark: SparkSession, d: str, delete: bool) -> DataFrame:
+    """Postings are built first; the search after later writes reads them and the changes."""
+    p = points(spark, d).select("id", "vector", "document")
+    c = _collection(spark, p)
+    c.build_postings()
+    c.upsert(p.where("id % 3 = 0").select("id", "vector", F.concat(F.lit("a clown, stupid "), F.coalesce("document", F.lit(""))).alias("document")))
+    if delete:
+        c.delete_many(p.where("id % 5 = 0").select("id"))
+    return shown(c.lexical(TEXT, 25), 9)
+
+
+_LATER_TEXT = "q as (select id, case when id % 3 = 0 then 'a clown, stupid ' || coalesce(document, '') else document end as document from p where {w})"
+_QDOCS = f"qdocs as (select id, {_TOKENS.format(t='document')} as t from q where document is not null)"
+for _name, _delete, _w in (("bm25_after_upsert", False, "true"), ("bm25_after_delete", True, "id % 5 <> 0")):
+    register(_name, f"with {P}, {_LATER_TEXT.format(w=_w)}, {_QDOCS} {_rounded(bm25_sql(TEXT, k=25, docs='qdocs'))}")(
+        lambda spark, d, delete=_delete: _text_history(spark, d, delete)
+    )
+
+
+# -- approximate neighbours
 
 
 def _graph(spark: SparkSession, d: str, shards: int) -> DataFrame:
@@ -482,7 +501,34 @@ def hnsw_recall(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-# -- statistics of the bench ---------------------------------------------------------------------
+def _recall_floor(metric: Metric, filtered: bool) -> Query:
+    """Whether the mean recall at 10 of an HNSW collection is 0.9 or more, after writes that its graph has not seen."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        db = Database(spark, work_dir(spark, "database"))
+        db.create_collection("points", metric, 64, "hnsw", id_type="bigint")
+        p = with_payload(points(spark, d))
+        db.batch_upsert("points", p)
+        db.build_indexes("points")
+        c = db.get("points")
+        c.upsert(p.where("id % 11 = 0").select("id", F.transform("vector", lambda x: -x).alias("vector"), "document", "payload"))
+        c.delete_many(p.where("id % 13 = 0").select("id"))
+        node, shares = _HIT if filtered else None, []
+        for _, v in vectors(spark, d, QUERY_IDS[::2]):
+            exact = [r.id for r in knn.top_k(c.live(), v, 10, metric, c._where(node)).collect()]
+            found = {r.id for r in c.search(SearchQuery(v, 10, None, node)).collect()}
+            shares.append(len(found & set(exact)) / len(exact))
+        return spark.createDataFrame([(sum(shares) >= 0.9 * len(shares),)], "reached boolean")
+
+    return run
+
+
+for _m in Metric:
+    register(f"hnsw_recall_floor_{_m.value}", "select true as reached")(_recall_floor(_m, False))
+register("hnsw_recall_floor_filtered", "select true as reached")(_recall_floor(Metric.COSINE, True))
+
+
+# -- statistics of the bench
 
 
 @register("latency_nearest_rank", "select quantile_disc(value, 0.5) as p50, quantile_disc(value, 0.99) as p99 from events")

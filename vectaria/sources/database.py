@@ -5,6 +5,7 @@ from __future__ import annotations
 import logging
 import re
 from collections.abc import Callable, Iterable, Mapping, Sequence
+from dataclasses import fields
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,6 +38,9 @@ class Database:
             raise InvalidArgument("metric and index type must be given")
         index = IndexType.of(index_type)
         if isinstance(hnsw, Mapping):
+            unknown = sorted(set(hnsw) - {f.name for f in fields(HnswConfig)})
+            if unknown:
+                raise InvalidArgument(f"unknown parameters {unknown}")
             hnsw = HnswConfig(**hnsw)
         meta = CollectionMeta(name, Metric.of(metric), int(dimension), index, (hnsw or HnswConfig()) if index is IndexType.HNSW else None)
         if meta.dimension < 1:
@@ -98,6 +102,19 @@ class Database:
             raise InvalidArgument("a filter is needed")
         return self.get(name).delete_by_filter(node)
 
+    def bulk_insert(self, name: str, points: DataFrame | Iterable[Mapping[str, Any]]) -> int:
+        """All or nothing; an id that is taken is an error.  The indexes are built anew at the end."""
+        n = self.get(name).insert(points)
+        self.build_indexes(name)
+        return n
+
+    def build_indexes(self, name: str, shards: int | None = None) -> None:
+        """The postings, and for an HNSW collection the graph, of the points as they are."""
+        c = self.get(name)
+        c.build_postings()
+        if c.meta.index_type is IndexType.HNSW:
+            c.build_graph(shards)
+
     def compact(self, name: str) -> int:
         return self.get(name).compact()
 

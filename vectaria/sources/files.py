@@ -6,9 +6,10 @@ import json
 import uuid
 from typing import Any
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
-from ..types import StorageError
+from ..types import Conflict, StorageError
 
 
 class Files:
@@ -46,8 +47,14 @@ class Files:
         except ValueError as e:
             raise StorageError(f"{path} is not JSON") from e
 
-    def write_json(self, path: str, x: Any) -> None:
-        """Written aside and renamed over the old one: readers see either, never a part."""
+    def names(self, path: str) -> list[str]:
+        if not self.exists(path):
+            return []
+        return sorted(s.getPath().getName() for s in self.fs(path).listStatus(self.path(path)) if s.isFile())
+
+    def write_json(self, path: str, x: Any, once: bool = False) -> None:
+        """Written aside and renamed over the old one: readers see either, never a part.  With `once` an
+        existing file is an error and stays."""
         aside = f"{path}.{uuid.uuid4().hex}"
         stream = self.fs(aside).create(self.path(aside), True)
         try:
@@ -55,6 +62,13 @@ class Files:
         finally:
             stream.close()
         options = self.jvm.java.lang.reflect.Array.newInstance(self.jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename"), 1)
-        self.jvm.java.lang.reflect.Array.set(options, 0, getattr(self.jvm.org.apache.hadoop.fs, "Options$Rename").OVERWRITE)
-        context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.path(path).toUri() if "://" in path else self.jvm.java.net.URI("file:///"), self.conf)
-        context.rename(self.path(aside), self.path(path), options)
+        kind = getattr(self.jvm.org.apache.hadoop.fs, "Options$Rename")
+        self.jvm.java.lang.reflect.Array.set(options, 0, kind.NONE if once else kind.OVERWRITE)
+        context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.fs(path).getUri(), self.conf)
+        try:
+            context.rename(self.path(aside), self.path(path), options)
+        except Py4JJavaError as e:
+            self.delete(aside)
+            if once and self.exists(path):
+                raise Conflict("another writer came first") from e
+            raise

@@ -77,6 +77,12 @@ class StorageError(VectariaError):
     pass
 
 
+class Conflict(StorageError):
+    """A writer that started from the same version committed first; nothing was written."""
+
+    code = "ABORTED"
+
+
 class FormatMismatch(StorageError):
     pass
 
