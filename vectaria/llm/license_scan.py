@@ -4,7 +4,8 @@ inheritance from the nearest ancestor directory by path joins.
 Only DataFrame functions.  Units of comparison are the lines of a whole text, all its marked lines
 together (a notice over several lines) and, for a licence file, the whole text.  A unit is marked
 if it holds one of the terms that `marks` derives from the templates: a unit without any of
-these can't reach the threshold with any template, so leaving it out loses nothing.  Term weights are
+these can't reach the threshold with any template, so leaving it out loses nothing; nor can one
+that `may_reach` rules out by how many of its terms no template has.  Term weights are
 (1 + ln tf) x idf with idf from the template set, a fixed list of some hundred terms, so the term table is
 broadcast.  A file with no licence of its own takes that of the nearest directory above it (or
 its own) that has a licence file; directories are resolved once each before files join them, and an
@@ -74,6 +75,23 @@ def marks(templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float =
     return sorted(out)
 
 
+def may_reach(found: Column, idf: dict[str, float], other: float, threshold: float) -> Column:
+    """Whether a unit of these terms could reach the threshold: its squared cosine is at most the share that template
+    terms have of its squared norm.  Of a class of terms with d distinct ones in n places the squared weights
+    add up to d (1 + ln(n / d))^2 times the largest squared idf at most, as (1 + ln x)^2 is concave; each
+    distinct term of no template adds the square of `other` at least."""
+    low = sorted(t for t, x in idf.items() if x <= 2)
+    high = sorted(t for t, x in idf.items() if x > 2)
+    distinct, most, known = F.array_distinct(found), F.lit(0.0), F.lit(0)
+    for listed in filter(None, (low, high)):
+        d, n = (F.size(F.filter(x, lambda t: t.isin(listed))) for x in (distinct, found))  # noqa: B023
+        f = 1 + F.log(n / F.greatest(d, F.lit(1)))
+        most = most + F.when(d > 0, d * f * f * F.lit(max(idf[t] for t in listed) ** 2)).otherwise(F.lit(0.0))
+        known = known + d
+    square = threshold * threshold
+    return most * F.lit(1 - square) >= (F.size(distinct) - known) * F.lit(square * other * other - 1e-6)
+
+
 def terms(text: Column) -> Column:
     parts = F.transform(F.split(F.lower(text), TERM), lambda x: F.trim(x, F.lit(".")))
     return F.filter(parts, lambda x: x != "")
@@ -96,7 +114,9 @@ def own_licences(files: DataFrame, templates: tuple[tuple[str, str], ...] = TEMP
     marked = marked.withColumn("m", F.monotonically_increasing_id()).where("size(lines) > 0 and m >= 0")
     parts = F.concat(F.col("lines"), F.array(F.array_join("lines", "\n")), F.when(F.col("all").isNotNull(), F.array("all")).otherwise(F.array().cast("array<string>")))
     units = marked.select("doc_id", F.explode(F.array_distinct(parts)).alias("unit"))
-    tf = units.select("doc_id", F.xxhash64("unit").alias("unit"), F.explode(terms(F.col("unit"))).alias("term"))
+    near = units.select("doc_id", F.xxhash64("unit").alias("unit"), terms(F.col("unit")).alias("terms"), F.monotonically_increasing_id().alias("m"))
+    near = near.where(may_reach(F.col("terms"), idf, other, threshold) & (F.col("m") >= 0))
+    tf = near.select("doc_id", "unit", F.explode("terms").alias("term"))
     tf = tf.groupBy("doc_id", "unit", "term").agg(F.count(F.lit(1)).alias("tf")).join(lexicon, "term", "left")
     w = (F.lit(1.0) + F.log("tf")) * F.coalesce("idf", F.lit(other))
     # One aggregate: each term gives its square to the norm once, and its products to its templates.
