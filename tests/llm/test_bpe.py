@@ -102,3 +102,33 @@ def test_memory_of_ever_new_words():
         assert one.auto.size < 1.1 * B.TABLE_BYTES and one.known_size < B.WORD_BYTES
     t = "x" * 200_000
     assert one.encode(t) == LIB.encode(t, add_special_tokens=False).ids
+
+
+def _invented(seed, n):
+    r = random.Random(seed)
+    return ["".join(r.choices(["en", "the", "ia", "queo", "sch", "r", "é", "ti", "on"], k=r.randrange(2, 6))) for _ in range(n)]
+
+
+def test_rows_do_not_grow_with_the_words():
+    """Ever new words enter no more rows than there are beginnings of tokens they are made of."""
+    one = B.Bpe(B.default_file())
+    one.encode(" ".join(_invented(1, 4000)))
+    rows = len(one.auto.rows)
+    one.encode(" ".join(_invented(2, 4000)))
+    assert len(one.auto.rows) < 1.1 * rows and len(one.auto.rows) < 1000
+
+
+@pytest.mark.parametrize("group, table, together", [(4 << 20, 96 << 20, 8192), (200, 5000, 3)])
+def test_many_texts_at_once_like_the_library(monkeypatch, group, table, together):
+    monkeypatch.setattr(B, "GROUP", group)
+    monkeypatch.setattr(B, "TABLE_BYTES", table)
+    monkeypatch.setattr(B, "TOGETHER", together)
+    one = B.Bpe(B.default_file())
+    odd = ["", None, "<|endoftext|>x<|startoftext|>", "日本語 😀 x²½ é", "\x00 don't 'S ſ ŉ", "x" * 64 + " " + "é" * 40 + " " + "ab" * 500, "the the <|endoftext|", " ", "a"]
+    texts = odd + [" ".join(_invented(s, 30)) for s in range(20)] + odd
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    got = list(one.digests_of(texts))
+    assert len(got) == len(texts) and list(one.digests_of([])) == []
+    for text, found in zip(texts, got):
+        e = LIB.encode(text or "", add_special_tokens=False)
+        assert found == (len(e.ids), sha(" ".join(map(str, e.ids))), sha(LIB.decode(e.ids, skip_special_tokens=False))), text
