@@ -1,5 +1,6 @@
 import hashlib
 import random
+from types import SimpleNamespace
 
 import pytest
 from hypothesis import given, settings
@@ -132,3 +133,17 @@ def test_many_texts_at_once_like_the_library(monkeypatch, group, table, together
     for text, found in zip(texts, got):
         e = LIB.encode(text or "", add_special_tokens=False)
         assert found == (len(e.ids), sha(" ".join(map(str, e.ids))), sha(LIB.decode(e.ids, skip_special_tokens=False))), text
+
+
+def test_the_library_splits_only_words_with_other_characters():
+    """One such character does not send the rest of its text through the library."""
+    one = B.Bpe(B.default_file())
+    asked = []
+    normalize = LIB.normalizer.normalize_str
+    one.library = SimpleNamespace(pre_tokenizer=LIB.pre_tokenizer, normalizer=SimpleNamespace(normalize_str=lambda s: asked.append(s) or normalize(s)))
+    plain = " ".join(_invented(3, 500))
+    for odd in ("“odd”", "ΟΔΟΣ", "é", "́", "日本語 x 本", " a　", "İ", "x" * 300_000 + "😀"):
+        for text in (f"{plain} {odd} {plain}", f"{odd}\n{plain}", f"{plain}\t{odd}", f"{odd} {plain} {odd}", "y" * 300_000 + f" {odd}"):
+            asked.clear()
+            assert one.encode(text) == LIB.encode(text, add_special_tokens=False).ids, odd
+            assert sum(map(len, asked)) < 3 * len(odd) + 60, odd

@@ -45,6 +45,8 @@ TABLE_BYTES, ARC_BYTES, WORD_BYTES = 96 << 20, 32 << 20, 48 << 20
 #: Texts of these characters only are normalised and split by Python's own functions: below
 #: U+0180 every character is in normal form C, and its class is the same in every Unicode version.
 PLAIN_END = 0x180
+#: Words with other characters go to the library in one piece if no more characters lie between them.
+NEAR = 32
 #: Words that are moved through the table together, in bytes each at most; longer ones go alone.
 TOGETHER, LONGEST = 8192, 64
 #: Slots of the table of arcs that many words ask at once; each holds the arc asked last.
@@ -330,6 +332,7 @@ class Bpe:
         rest = [b for b in range(256) if b not in direct]
         self.bytes = {b: chr(b) for b in direct} | {b: chr(256 + k) for k, b in enumerate(rest)}
         self.odd = re.compile(f"[^\\x00-{chr(PLAIN_END - 1)}]")
+        self.back = {ord(c): b for b, c in self.bytes.items()}
         kind = lambda k: "".join(re.escape(chr(c)) for c in range(PLAIN_END) if unicodedata.category(chr(c))[0] == k)
         white, letters, digits = "\\t-\\r \\x85\\xa0", kind("L"), kind("N")
         self.split = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{digits}]|[^{white}{letters}{digits}]+").findall
@@ -343,11 +346,23 @@ class Bpe:
 
     def pieces(self, text: str) -> list[str]:
         """Normalised, pre-split words of a text without special tokens, in plain characters."""
-        if not self.odd.search(text):
+        if text.isascii() or not self.odd.search(text):
             return self.split(text.lower())
-        split = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
-        back = {c: b for b, c in self.bytes.items()}
-        return [bytes(back[c] for c in s).decode("utf-8", "replace") for s, _ in split]
+        # Neither form C nor lower case nor a word reaches over a space, so the library gets what lies between two.
+        out, at, found = [], 0, self.odd.search(text)
+        while found:
+            start = text.rfind(" ", at, found.start()) + 1 or at
+            while found:
+                end = text.find(" ", found.start())
+                end = len(text) if end < 0 else end
+                found = self.odd.search(text, end)
+                if found and found.start() - end > NEAR:
+                    break
+            split = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text[start:end]))
+            out += self.split(text[at:start].lower())
+            out += [s.translate(self.back).encode("latin-1").decode("utf-8", "replace") for s, _ in split]
+            at = end
+        return out + self.split(text[at:].lower())
 
     def word(self, word: str) -> tuple[str, str]:
         """Ids and decoded text of one pre-split word, each joined by spaces."""
