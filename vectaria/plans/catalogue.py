@@ -419,7 +419,7 @@ def describe_counts(spark: SparkSession, d: str) -> DataFrame:
 
 @register("stream_bulk_upsert", "select vec_id as id, round(cast(embedding[1] as double), 6) as first from embeddings")
 def stream_bulk_upsert(spark: SparkSession, d: str) -> DataFrame:
-    source = spark.readStream.schema("vec_id long, embedding array<float>, label int").option("pathGlobFilter", "embeddings*").parquet(d)
+    source = spark.readStream.schema("vec_id long, embedding array<float>, label int").parquet(f"{d}/embeddings.parque[t]")  # a file or a folder of files; streams take a file by glob only
     c = _collection(spark)
     bulk_upsert_stream(source.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), c, work_dir(spark, "stream")).awaitTermination()
     return _shown(c).select("id", "first")
