@@ -9,6 +9,7 @@ from __future__ import annotations
 import heapq
 import math
 from collections.abc import Callable, Iterable, Sequence
+from itertools import batched
 from typing import Any
 
 import numpy as np
@@ -20,6 +21,8 @@ from ..types import DimensionMismatch, DuplicateId, HnswConfig, InvalidArgument,
 
 TOP_LEVEL = 64
 POINTS_PER_SHARD = 100_000
+#: Points that bulk insertion links at a time, and numbers that one of its arrays holds at most.
+BULK, BULK_NUMBERS = 256, 1 << 22
 _M64 = (1 << 64) - 1
 
 
@@ -177,8 +180,121 @@ class Graph:
         return changed
 
     def bulk_insert(self, points: Iterable[tuple[Any, Sequence[float]]]) -> None:
-        for key, v in points:
-            self.insert(key, v)
+        """The same rules as `insert`, in blocks of array operations: the candidates of a point are the best
+        live nodes before it, found exactly by products of matrices and not by a walk, and a node whose
+        links grew too many chooses once a block."""
+        for block in batched(points, BULK):
+            first = len(self.ids)
+            try:
+                for key, vector in block:
+                    v = check_vector(vector)
+                    if key in self.node:
+                        raise DuplicateId(str(key))
+                    if len(self.ids) and len(v) != self.vectors.shape[1]:
+                        raise DimensionMismatch(f"{len(v)} components where {self.vectors.shape[1]} are expected")
+                    self._add_node(key, v, self.rng.level(self.config.level_scale))
+            finally:  # an error leaves the points before it inserted
+                self._link(first)
+
+    def _link(self, first: int) -> None:
+        """Links for the nodes from `first` on, which have none."""
+        levels, live = np.array(self.levels, np.int64), ~np.array(self.dead, bool)
+        for layer in range(int(levels[first:].max(initial=-1)) + 1):
+            nodes = np.flatnonzero(live & (levels >= layer))
+            mine = first + np.flatnonzero(levels[first:] >= layer)
+            most = self.config.most_at_0 if layer == 0 else self.config.m
+            size = min(self.config.ef_construction, len(nodes))
+            step = max(1, BULK_NUMBERS // max(len(nodes), size * max(size, self.vectors.shape[1])))
+            vectors = self._centred(nodes)
+            for at in range(0, len(mine), step):
+                part = mine[at : at + step]
+                rough = self._products(vectors[np.searchsorted(nodes, part)], vectors, self.norms[part], self.norms[nodes])
+                rough[nodes >= part[:, None]] = -np.inf
+                best = np.argpartition(rough, len(nodes) - size, axis=1)[:, len(nodes) - size :]
+                for n, chosen in zip(part.tolist(), self._chosen(part, nodes[best], nodes[best] < part[:, None], self.config.m)):
+                    self.links[n][layer] = chosen
+            grown = set()
+            for n in mine.tolist():
+                for other in self.links[n][layer]:
+                    self.links[other][layer].append(n)
+                    grown.add(other)
+            full = sorted((o for o in grown if len(self.links[o][layer]) > most), key=lambda o: (-len(self.links[o][layer]), o))
+            while full:
+                width = len(self.links[full[0]][layer])
+                step = max(1, BULK_NUMBERS // (width * max(width, self.vectors.shape[1])))
+                part, full = full[:step], full[step:]
+                lists = [self.links[o][layer] for o in part]
+                there = np.arange(width) < np.array([len(x) for x in lists])[:, None]
+                padded = np.array([x + [0] * (width - len(x)) for x in lists], np.int64)
+                for o, chosen in zip(part, self._chosen(np.array(part), padded, there, most)):
+                    self.links[o][layer] = chosen
+        for n in range(first, len(self.ids)):
+            if self.entry < 0 or self.levels[n] > self.levels[self.entry]:
+                self.entry = n
+
+    def _centred(self, nodes: np.ndarray) -> np.ndarray:
+        """Vectors whose distances by products lose no digits to a common offset."""
+        v = self.vectors[nodes]
+        return v - v.mean(0) if self.metric is Metric.EUCLIDEAN and len(v) else v
+
+    def _products(self, a: np.ndarray, b: np.ndarray, norms_a: np.ndarray, norms_b: np.ndarray) -> np.ndarray:
+        """Scores of each row of a (or of each matrix in a) with each row of b."""
+        s = a @ np.swapaxes(b, -1, -2)
+        if self.metric is Metric.EUCLIDEAN:
+            squares = (a * a).sum(-1)[..., :, None] + (b * b).sum(-1)[..., None, :]
+            return -np.sqrt(np.maximum(squares - 2 * s, 0))
+        if self.metric is Metric.DOT:
+            return s
+        both = norms_a[..., :, None] * norms_b[..., None, :]
+        return np.divide(s, both, out=np.zeros_like(s), where=both > 0)
+
+    def _chosen(self, bases: np.ndarray, nodes: np.ndarray, there: np.ndarray, most: int) -> list[list[int]]:
+        """`_select` for many bases, a row of candidates each; ties go to smaller numbers."""
+        v, base = self.vectors[nodes], self.vectors[bases][:, None, :]
+        if self.metric is Metric.EUCLIDEAN:
+            v = v - base  # distances stay, and digits too
+            s = -np.sqrt((v * v).sum(2))
+        else:
+            s = self._products(base, v, self.norms[bases][:, None], self.norms[nodes])[:, 0]
+        order = np.lexsort((nodes, -s, ~there), axis=-1)
+        rows = np.arange(len(bases))
+        nodes, s, alive = (np.take_along_axis(x, order, 1) for x in (nodes, s, there))
+        v, norms = v[rows[:, None], order], self.norms[nodes]
+        between, taken, alive = self._products(v, v, norms, norms), np.zeros(nodes.shape, bool), alive & (nodes != bases[:, None])
+        for _ in range(most):
+            at = alive.argmax(1)
+            some = alive[rows, at]
+            if not some.any():
+                break
+            taken[rows[some], at[some]] = True
+            alive &= ~(between[rows, at] > s)
+            alive[rows, at] = False
+        return [n[t].tolist() for n, t in zip(nodes, taken)]
+
+    def connect(self) -> None:
+        """Links that let every node of layer 0 be reached from every other, where choosing has cut the ways:
+        from and to the best node that has them.  A node may get more links than the configuration says."""
+        out = [links[0] for links in self.links]
+        back: list[list[int]] = [[] for _ in out]
+        for n, links in enumerate(out):
+            for other in links:
+                back[other].append(n)
+        for near in (out, back) if self.entry >= 0 else ():
+            seen = np.zeros(len(out), bool)
+            for n in (self.entry, *range(len(out))):
+                if seen[n]:
+                    continue
+                if n != self.entry:
+                    known = np.flatnonzero(seen)
+                    best = int(known[self.scores(self.vectors[n], known).argmax()])
+                    a, b = (best, n) if near is out else (n, best)
+                    out[a].append(b), back[b].append(a)
+                seen[n], todo = True, [n]
+                while todo:
+                    for other in near[todo.pop()]:
+                        if not seen[other]:
+                            seen[other] = True
+                            todo.append(other)
 
     def remove(self, key: Any) -> bool:
         n = self.node.pop(key, None)
@@ -226,11 +342,11 @@ class Graph:
         return g
 
 
-def build(points: DataFrame, metric: Metric, config: HnswConfig = HnswConfig(), shards: int | None = None, id_column: str = "id", vector: str = "vector") -> DataFrame:
+def build(points: DataFrame, metric: Metric, config: HnswConfig = HnswConfig(), shards: int | None = None, id_column: str = "id", vector: str = "vector", least: int = 1) -> DataFrame:
     """The graphs as rows: shard, node, id, level, dead, vector, links, entry, rng.  A shard's nodes
     are numbered in id order.  A shard is held whole by one worker; by default there are as many as
-    give each some POINTS_PER_SHARD points."""
-    shards = shards or max(1, -(-points.count() // POINTS_PER_SHARD))
+    give each some POINTS_PER_SHARD points, `least` or more."""
+    shards = shards or max(least, -(-points.count() // POINTS_PER_SHARD))
     kind = dict(points.dtypes)[id_column]
     schema = f"shard int, node long, id {kind}, level int, dead boolean, vector array<float>, links array<array<long>>, entry long, rng string"
 
@@ -238,6 +354,7 @@ def build(points: DataFrame, metric: Metric, config: HnswConfig = HnswConfig(),
         g = Graph(metric, config)
         pdf = pdf.sort_values("id")
         g.bulk_insert(zip(pdf["id"], pdf["vector"]))
+        g.connect()
         s = g.snapshot()
         return pd.DataFrame({
             "shard": int(pdf["shard"].iloc[0]), "node": range(len(s["ids"])), "id": s["ids"], "level": s["levels"], "dead": s["dead"],

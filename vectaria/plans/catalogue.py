@@ -461,9 +461,10 @@ for _name, _delete, _w in (("bm25_after_upsert", False, "true"), ("bm25_after_de
 # -- approximate neighbours
 
 
-def _graph(spark: SparkSession, d: str, shards: int) -> DataFrame:
+def _graph(spark: SparkSession, d: str, least: int) -> DataFrame:
+    """Shards grow in number with the table, so that none outgrows a worker."""
     path = work_dir(spark, "graph")
-    hnsw.build(bare(spark, d), Metric.COSINE, HnswConfig(), shards).write.parquet(path)
+    hnsw.build(bare(spark, d), Metric.COSINE, HnswConfig(), least=least).write.parquet(path)
     return spark.read.parquet(path)
 
 
