@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from ..types import DimensionMismatch, DuplicateId, HnswConfig, InvalidArgument, Metric, UnsupportedMetric, check_vector
 
 TOP_LEVEL = 64
-POINTS_PER_SHARD = 100_000
+#: At one ef recall falls as a shard grows (README), and shards are what runs in parallel.
+POINTS_PER_SHARD = 8_000
 #: Points that bulk insertion links at a time, and numbers that one of its arrays holds at most.
 BULK, BULK_NUMBERS = 256, 1 << 22
 _M64 = (1 << 64) - 1

@@ -9,12 +9,17 @@ import uuid
 from pyspark.sql import SparkSession
 
 
-def work_dir(spark: SparkSession, what: str) -> str:
-    """A new folder name under the shared folder of `spark.checkpoint.dir`; only where that is unset
-    (tests) under a temporary one.  Python workers learn where this package is."""
+def share_code(spark: SparkSession) -> None:
+    """Python workers learn where this package is."""
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
+
+
+def work_dir(spark: SparkSession, what: str) -> str:
+    """A new folder name under the shared folder of `spark.checkpoint.dir`; only where that is unset
+    (tests) under a temporary one."""
+    share_code(spark)
     shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
     return f"{shared.rstrip('/')}/{what}-{uuid.uuid4().hex}"
