@@ -6,16 +6,25 @@ in every plan."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 from operator import or_
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import share_code
 from .knn import best
 
+#: Ids that occur twice or more are told apart by name up to so many; with more all rows are shuffled.
+REPEATED_IDS = 10_000
+#: Tokens counted at a time in a worker, and rows it hands on at a time.
+TOKENS_AT_ONCE, ROWS_AT_ONCE = 1 << 20, 50_000
+
 
 @dataclass(frozen=True)
 class CorpusStats:
@@ -27,11 +36,51 @@ class CorpusStats:
         return self.total / self.n if self.n else 0.0
 
 
-def term_frequencies(docs: DataFrame, id_column: str = "id", document: str = "document") -> DataFrame:
-    """(term, id, tf, len): the postings.  `len` stands in every row, so scoring needs no second join."""
-    t = docs.where(F.col(document).isNotNull()).select(F.col(id_column).alias("id"), T.tokens(F.col(document)).alias("tokens"))
-    t = t.select("id", F.size("tokens").alias("len"), F.explode("tokens").alias("term"))
-    return t.groupBy("term", "id", "len").agg(F.count(F.lit(1)).alias("tf")).select("term", "id", "tf", "len")
+def term_frequencies(docs: DataFrame, id_column: str = "id", document: str = "document", unique: bool = False) -> DataFrame:
+    """(term, id, tf, len): the postings.  `len` stands in every row, so scoring needs no second join.  A text's
+    terms are counted where it lies.  Only rows whose id repeats are counted together, by a shuffle; one pass
+    over the ids finds these, unless the ids are known to be `unique`."""
+    share_code(docs.sparkSession)
+    d = docs.where(F.col(document).isNotNull()).select(F.col(id_column).alias("id"), F.col(document).alias("document"))
+    if unique:
+        return _counted_alone(d)
+    found = [r.id for r in d.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id").limit(REPEATED_IDS + 1).collect()]
+    if not found:
+        return _counted_alone(d)
+    if len(found) > REPEATED_IDS:
+        return _counted_together(d)
+    again = F.coalesce(F.col("id").isin([x for x in found if x is not None]), F.lit(None in found))
+    return _counted_alone(d.where(~again)).unionByName(_counted_together(d.where(again)))
+
+
+def _counted_together(d: DataFrame) -> DataFrame:
+    # An outer explode, as the optimizer would tokenise for a filter below any other.
+    t = d.select("id", T.tokens(F.col("document")).alias("tokens")).select("id", F.size("tokens").alias("len"), F.explode_outer("tokens").alias("term"))
+    return t.where(F.col("term").isNotNull()).groupBy("term", "id", "len").agg(F.count(F.lit(1)).alias("tf")).select("term", "id", "tf", "len")
+
+
+def _counted_alone(d: DataFrame) -> DataFrame:
+    return d.select("id", T.tokens(F.col("document")).alias("tokens")).mapInArrow(_count, f"term string, id {dict(d.dtypes)['id']}, tf long, len int")
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Term counts of each row, some TOKENS_AT_ONCE tokens at a time."""
+    for batch in batches:
+        ids, lists = batch.column(0), batch.column(1)
+        sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        ends, first = np.cumsum(sizes), 0
+        while first < len(ids):
+            before = ends[first - 1] if first else 0
+            last = max(first + 1, int(np.searchsorted(ends, before + TOKENS_AT_ONCE, "right")))
+            terms = lists.slice(first, last - first).flatten().dictionary_encode()
+            kinds = max(1, len(terms.dictionary))
+            place = np.repeat(np.arange(first, last), sizes[first:last])
+            key, tf = np.unique(place * kinds + terms.indices.to_numpy(), return_counts=True)
+            for at in range(0, len(key), ROWS_AT_ONCE):
+                row, term = np.divmod(key[at : at + ROWS_AT_ONCE], kinds)
+                columns = [terms.dictionary.take(pa.array(term)), ids.take(pa.array(row)), pa.array(tf[at : at + ROWS_AT_ONCE]), pa.array(sizes[row].astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, ["term", "id", "tf", "len"])
+            first = last
 
 
 def document_lengths(docs: DataFrame, id_column: str = "id", document: str = "document") -> DataFrame:

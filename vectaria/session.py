@@ -8,9 +8,15 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+ARROW_BYTES = 16 << 20
+
 
 def share_code(spark: SparkSession) -> None:
-    """Python workers learn where this package is."""
+    """Python workers learn where this package is, and get Arrow batches of bounded size; a smaller bound of
+    the caller's is kept."""
+    now = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    if not now.isdigit() or not 0 < int(now) <= ARROW_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):

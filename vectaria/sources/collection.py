@@ -222,7 +222,7 @@ class Collection:
         """The inverted table, sorted by term so that a term filter skips most row groups."""
         m = self.manifest()
         folder = f"postings-{m['seq']:08d}-{uuid.uuid4().hex}"
-        p = lexical.term_frequencies(self.live())
+        p = lexical.term_frequencies(self.live(), unique=True)
         p.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{self.folder}/{folder}")
         lengths = lexical.document_lengths(self.live())
         lengths.write.parquet(f"{self.folder}/{folder}-lengths")
@@ -292,7 +292,7 @@ class Collection:
                 out = sums(self.spark.read.parquet(f"{self.folder}/{p['lengths']}").join(ids, "id", "left_semi"))
                 new = sums(lexical.document_lengths(points))
                 n, total = n - out.n + new.n, total - out.t + new.t
-                postings = postings.join(ids, "id", "left_anti").unionByName(lexical.term_frequencies(points))
+                postings = postings.join(ids, "id", "left_anti").unionByName(lexical.term_frequencies(points, unique=True))
             return lexical.search_postings(postings, lexical.CorpusStats(n, total), text, k, admitted)
         return lexical.search_text(self.live(), text, k, self._where(node))
 
