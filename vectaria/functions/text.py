@@ -17,9 +17,11 @@ OWN_CASE = r"[\x{130}\x{530}-\x{1FFF}\x{2070}-\x{2FFF}\x{A000}-\x{10FFFF}]"
 def tokens(text: Column) -> Column:
     """Runs of alphabetic or numeric characters, each character lower-cased on its own: the split
     comes first, and a final sigma gets no special form."""
-    cut = lambda x: F.split(x, r"[^\p{IsAlphabetic}\p{N}]+")
-    low = lambda x: F.lower(F.translate(x, "Σ", "σ"))
-    return F.array_remove(F.when(text.rlike(OWN_CASE), F.transform(cut(text), low)).otherwise(cut(low(text))), "")
+    own, low = text.rlike(OWN_CASE), lambda x: F.lower(F.translate(x, "Σ", "σ"))
+    runs = F.split(F.when(own, text).otherwise(low(text)), r"[^\p{IsAlphabetic}\p{N}]+")
+    # An array of one array gives the runs a name, so that they are cut once.
+    named = F.transform(F.array(runs), lambda r: F.when(own, F.transform(r, low)).otherwise(r))
+    return F.array_remove(F.get(named, F.lit(0)), "")
 
 
 def query_tokens(spark: SparkSession, text: str) -> list[str]:
